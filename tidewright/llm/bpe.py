@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import PrefixEncoder, encoder
-from .common import tokenizer_path
+from .common import map_arrow, tokenizer_path
 from .textops import WordTable, byte_bpe_ids, slices
 
 
@@ -36,7 +36,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             yield pa.record_batch([batch.column(0), pa.array(raw, pa.binary())], names=[id_col, "ids"])
 
     kept = docs.select(F.col(id_col), F.col(text_col))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids binary")
+    return map_arrow(kept, run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -50,7 +50,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str =
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     kept = encoded.select(F.col(id_col), F.col("ids"))
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, text string")
+    return map_arrow(kept, run, f"`{id_col}` {kept.schema[0].dataType.simpleString()}, text string")
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,7 +74,7 @@ def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             yield pa.record_batch([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(sha_ids), pa.array(sha_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(kept, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple]:

@@ -32,6 +32,29 @@ def remove(folder: str) -> None:
     shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the executors' Python, once per application."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_tidewright_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="tidewright-")) / "tidewright.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._tidewright_shipped = True
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow with the package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as Parquet to the shared folder: later readers start from the table,
     so lost executors cost no recomputation and its rows stay the same."""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import byte_signs
-from .common import saved, tokenizer_path
+from .common import map_arrow, saved, tokenizer_path
 from .textops import WordTable, byte_bpe_ids, slices
 
 
@@ -69,7 +69,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
                 before += int(bounds[-1])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, "doc_id long, part int, before long, n long, ids binary")
+    return map_arrow(kept, run, "doc_id long, part int, before long, n long, ids binary")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,4 +108,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = 2048,
                 yield pa.record_batch(out, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     placed = table.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(placed, cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

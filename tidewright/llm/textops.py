@@ -51,13 +51,15 @@ class _Powers:
 
 
 _POWERS = _Powers()
+_BYTE_VALUES = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MULT)
 
 
 def segment_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of ``symbols[s:e]``, equal for equal segments wherever they lie."""
     up, down = _POWERS.upto(len(symbols) + 1)
     sums = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(mix64((symbols.astype(np.uint64) + np.uint64(1)) * _MULT) * up[: len(symbols)], out=sums[1:])
+    values = _BYTE_VALUES[symbols] if symbols.dtype == np.uint8 else mix64((symbols.astype(np.uint64) + np.uint64(1)) * _MULT)
+    np.cumsum(values * up[: len(symbols)], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT)
 
 
@@ -81,6 +83,26 @@ def joined(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray]:
     return text, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), bounds
 
 
+def joined_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts (null: empty) and the texts' bounds among them."""
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    bounds = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum([len(r) for r in raw], out=bounds[1:])
+    return np.frombuffer(b"".join(raw), np.uint8), bounds
+
+
+def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values, cut at the bounds too."""
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[bounds] = True
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1] | edge[1:-1]
+    end[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Code points of the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import map_arrow, tokenizer_path
 from .textops import WordTable, joined, slices
 
 MARK = 0x2581
@@ -155,4 +155,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096, ch
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    return kept.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_arrow(kept, run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
