@@ -10,13 +10,13 @@ The stages, none of which gathers a group in one task:
 1. documents with equal sets form classes (aggregation), and only the smallest id of
    each goes on;
 2. tuples that no other document has are left out, before the keys are formed;
-3. in each table every document is held against the smallest of its bucket, and
-   confirmed links give components;
-4. buckets that then still hold two or more components are worked off in full: each
-   two of their documents from different components are held against each other.
+3. in each table every document is held against the smallest id and the smallest set of
+   its bucket, and confirmed links give components;
+4. the documents of buckets that then still hold two or more components go through an
+   exact prefix filter, which finds all pairs from different components that can be links.
 
-So all documents of a bucket are compared, but for those already known to be
-connected.
+So no link between documents that share a bucket is lost, and pairs already known to be
+connected are not formed.
 
 Null and empty texts have empty sets and are linked with nothing.  Rows without an
 id are linked with nothing and kept.  Of rows with the same id, a link of any holds
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, size: int, rows: int, tables: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, h1 long, h2 long, tuples array<long>")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows (doc_id, text) joined to wanted, which has a column doc_id; few ids are broadcast, many are shuffled."""
     ids = wanted.select("doc_id").distinct()
     if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
@@ -154,12 +154,46 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     # The second document's set travels once per pair, the first one's once.
-    second = map_arrow(_texts_of(docs, pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("other"))).select("doc_id", "text", "other"), sets, "b long, a long, s binary")
-    first = map_arrow(_texts_of(docs, pairs.select(F.col("a").alias("doc_id")).distinct()).select("doc_id", "text", F.col("doc_id").alias("same")), sets, "a long, same long, s binary")
+    second = map_arrow(texts_of(docs, pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("other"))).select("doc_id", "text", "other"), sets, "b long, a long, s binary")
+    first = map_arrow(texts_of(docs, pairs.select(F.col("a").alias("doc_id")).distinct()).select("doc_id", "text", F.col("doc_id").alias("same")), sets, "a long, same long, s binary")
     met = second.select("a", "b", F.col("s").alias("sb")).hint("merge").join(first.select("a", F.col("s").alias("sa")), "a")
     return map_arrow(met.select("a", "b", "sa", "sb"), compare, "a long, b long").distinct()
 
 
+def prefix_pairs(opened: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of opened documents (doc_id, c) of different c that can reach percent, by prefix filtering.
+
+    Shingles are ordered from rare to frequent.  Sets that reach the limit share one of
+    the first n - ceil(percent * n / 100) + 1 shingles of either, and what they can share
+    at most follows from its positions; both conditions are exact.  Of a shingle's
+    documents, those of its most frequent c are held against the others only.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                h, bounds = shingle_sets(texts[a:b], size)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(bounds)), lists], names=["doc_id", "c", "n", "h"])
+
+    whole = saved(map_arrow(texts_of(docs, opened).select("doc_id", "text", "c"), sets, "doc_id long, c long, n long, h array<long>"), "sets")
+    each = whole.select("doc_id", "c", "n", F.explode("h").alias("x"))
+    shared = each.groupBy("x").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("f > 1")
+    ordered = each.join(shared, "x").groupBy("doc_id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("s"))
+    # Shingles of this document alone come first and meet nobody.
+    alone = F.col("n") - F.size("s")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    prefix = ordered.where(length > 0).withColumn("alone", alone).select("doc_id", "c", "n", "alone", F.posexplode(F.slice("s", 1, F.greatest(length, F.lit(1)).cast("int"))).alias("k", "e"))
+    prefix = saved(prefix.where("e.mixed").select(F.col("e.x").alias("x"), "doc_id", "c", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("rest")), "prefixes")
+    main = prefix.groupBy("x", "c").agg(F.count("*").alias("f")).groupBy("x").agg(F.max(F.struct("f", "c")).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("x", F.col("m.c").alias("main"))
+    left = prefix.join(main, "x").where("c <> main")
+    right = prefix.select("x", F.col("doc_id").alias("other"), F.col("c").alias("oc"), F.col("n").alias("on"), F.col("rest").alias("orest"))
+    fits = F.expr(f"c <> oc and (oc = main or doc_id < other) and 100 * least(n, on) >= {percent} * greatest(n, on) and {100 + percent} * least(rest, orest) >= {percent} * (n + on)")
+    met = left.hint("merge").join(right, "x").where(fits)
+    return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
 def link_components(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 3, tables: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -175,20 +209,20 @@ def link_components(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     kept = each.join(shared, ["k", "h"]).groupBy("doc_id").agg(F.collect_set(F.when(F.col("k") < tables, F.struct("k", "h"))).alias("us"), F.collect_set(F.when(F.col("k") >= tables, F.struct("k", "h"))).alias("vs"))
     keys = saved(kept.select("doc_id", "vs", F.explode("us").alias("u")).select("doc_id", "u", F.explode("vs").alias("v")).select(F.xxhash64("u", "v").alias("key"), "doc_id"), "keys")
 
-    lowest = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("hi")).where("a < hi").select("key", "a")
-    pairs = saved(keys.join(lowest, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    # Two centres of each bucket: the smallest id, and the smallest set, which is nearest to what all have in common.
+    sized = keys.join(members.where("tuples is not null").select("doc_id", "n_shingles"), "doc_id")
+    centres = sized.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("n_shingles", "doc_id")).alias("least")).where("lo < hi")
+    stars = keys.join(centres.select("key", F.explode(F.array_distinct(F.array("lo", "least.doc_id"))).alias("c")), "key").where("doc_id <> c")
+    pairs = saved(stars.select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct(), "pairs")
     links = saved(confirmed(pairs, docs, size, percent), "links")
     parts = saved(components(links), "parts")
 
-    # What is left: buckets with documents from two or more components.
+    # What is left: documents of buckets that hold two or more components.
     named = keys.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    named = saved(named.join(open_keys, "key"), "open")
-    others = named.select("key", F.col("doc_id").alias("other"), F.col("c").alias("oc"))
-    more = named.join(others, "key").where("doc_id < other and c <> oc").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    more = saved(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    found = links.union(confirmed(more, docs, size, percent))
-    parts = components(found)
+    opened = saved(named.join(open_keys, "key").select("doc_id", "c").distinct(), "open")
+    more = saved(prefix_pairs(opened, docs, size, percent).join(pairs, ["a", "b"], "left_anti"), "more")
+    parts = components(links.union(confirmed(more, docs, size, percent)))
 
     whole = members.select("doc_id", "n_shingles", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).union(lone)
