@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, knn, minhash, packing, tokencount, toxicity
+from . import bpe, fingerprint, html_extract, knn, linededup, minhash, packing, pii, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(_table(spark, sf_dir, "documents"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_documents(docs, _table(spark, sf_dir, "labels"))
@@ -62,7 +74,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_toxicity, op5_html_extraction, op6_top_k_search, op7_packing, op8_bpe, op9_token_counts, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_top_k_search, op7_packing, op8_bpe, op9_token_counts, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
