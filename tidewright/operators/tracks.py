@@ -13,31 +13,42 @@ from pyspark.sql import functions as F
 SHORTEST, LONGEST, LOW_SCORE, MOST_LOW = 15, 500, 0.15, 20
 QUALITY = ["Ok", "NeedsCheckWarn", "NeedsCheckError"]
 
-_TRACK = Window.partitionBy("id").orderBy("slot")
-_WORD = Window.partitionBy("id", "word_no").orderBy("slot")
-_BEFORE = _WORD.rowsBetween(Window.unboundedPreceding, -1)
-_ALL = Window.partitionBy("id", "word_no")
+
+def _track():
+    return Window.partitionBy("id").orderBy("slot")
+
+
+def _word():
+    return Window.partitionBy("id", "word_no").orderBy("slot")
+
+
+def _before():
+    return _word().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _all():
+    return Window.partitionBy("id", "word_no")
 
 
 def with_words(segments: DataFrame) -> DataFrame:
     """word_no: words counted from their starts; segments before the first start are word 0."""
-    upto = _TRACK.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _track().rowsBetween(Window.unboundedPreceding, 0)
     return segments.withColumn("word_no", F.sum(F.col("word_start").cast("int")).over(upto).cast("bigint"))
 
 
 def with_word_slots(segments: DataFrame) -> DataFrame:
     """word_slot, word_size: position and number of segments of a word, without _."""
     real = (F.col("phoneme") != "_").cast("bigint")
-    upto = _WORD.rowsBetween(Window.unboundedPreceding, 0)
-    return with_words(segments).withColumns({"word_slot": F.sum(real).over(upto), "word_size": F.sum(real).over(_ALL)})
+    upto = _word().rowsBetween(Window.unboundedPreceding, 0)
+    return with_words(segments).withColumns({"word_slot": F.sum(real).over(upto), "word_size": F.sum(real).over(_all())})
 
 
 def with_findings(segments: DataFrame) -> DataFrame:
     """gap_in_word, unusual, low, inactive_real and inner: the findings behind a track's quality."""
     rows = with_word_slots(segments)
-    headed = F.max(F.col("word_start").cast("int")).over(_ALL) == 1
-    first = F.first("start").over(_WORD.rowsBetween(Window.unboundedPreceding, 0))
-    last = F.last(F.when(F.col("active"), F.col("stop")), ignorenulls=True).over(_BEFORE)
+    headed = F.max(F.col("word_start").cast("int")).over(_all()) == 1
+    first = F.first("start").over(_word().rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(F.col("active"), F.col("stop")), ignorenulls=True).over(_before())
     position = F.when(F.col("word_start"), F.col("start")).otherwise(F.coalesce(last, F.when(headed, first), F.lit(0)))
     duration = F.greatest(F.col("stop") - F.col("start"), F.lit(0))
     inactive = ~F.col("active") & (F.col("phoneme") != "_")
@@ -68,7 +79,7 @@ def track_quality(segments: DataFrame) -> DataFrame:
 def with_warnings(segments: DataFrame) -> DataFrame:
     """warnings: the texts of each segment's findings."""
     rows = with_findings(segments)
-    count = F.count_if(F.col("inactive_real")).over(_ALL)
+    count = F.count_if(F.col("inactive_real")).over(_all())
     each = F.array_compact(
         F.array(
             F.when(F.col("unusual"), F.format_string("unusual duration: %d ms", F.col("stop") - F.col("start"))),
@@ -89,15 +100,15 @@ def word_bounds(segments: DataFrame) -> DataFrame:
 
 def with_gap_flags(segments: DataFrame) -> DataFrame:
     """gap_before, gap_follows, ends_word: a segment's neighbours in its track."""
-    gap = F.coalesce(F.col("start") > F.lag("stop").over(_TRACK), F.lit(False))
+    gap = F.coalesce(F.col("start") > F.lag("stop").over(_track()), F.lit(False))
     rows = segments.withColumn("gap_before", gap)
-    return rows.withColumns({"gap_follows": F.lead("gap_before", 1, False).over(_TRACK), "ends_word": F.lead("word_start", 1, True).over(_TRACK)})
+    return rows.withColumns({"gap_follows": F.lead("gap_before", 1, False).over(_track()), "ends_word": F.lead("word_start", 1, True).over(_track())})
 
 
 def with_active_neighbours(segments: DataFrame) -> DataFrame:
     """Slots of the nearest active segments before and after, within the word."""
     live = F.when(F.col("active"), F.col("slot"))
-    return with_words(segments).withColumns({"active_before": F.last(live, ignorenulls=True).over(_BEFORE), "active_after": F.first(live, ignorenulls=True).over(_WORD.rowsBetween(1, Window.unboundedFollowing))})
+    return with_words(segments).withColumns({"active_before": F.last(live, ignorenulls=True).over(_before()), "active_after": F.first(live, ignorenulls=True).over(_word().rowsBetween(1, Window.unboundedFollowing))})
 
 
 def clean_recognised(frames: DataFrame) -> DataFrame:
@@ -109,9 +120,9 @@ def clean_recognised(frames: DataFrame) -> DataFrame:
     label = F.when(F.col("label").isin("<s>", "<sil>", "</s>", "(NULL)", "SIL"), "SIL").otherwise(F.col("label"))
     rows = frames.select("id", "slot", label.alias("phoneme"), (F.col("first_frame") * 10).alias("start"), (F.col("last_frame") * 10).alias("stop"))
     rows = rows.where("not (phoneme = 'SIL' and start = stop)")
-    kept = rows.withColumn("high", F.coalesce(F.max("start").over(_TRACK.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).where("start > high").drop("high")
+    kept = rows.withColumn("high", F.coalesce(F.max("start").over(_track().rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).where("start > high").drop("high")
     many = F.count("*").over(Window.partitionBy("id")) > 2
-    before, after = F.lag("phoneme").over(_TRACK), F.lead("phoneme").over(_TRACK)
+    before, after = F.lag("phoneme").over(_track()), F.lead("phoneme").over(_track())
     start = F.when(many & before.isNotNull() & (before != "SIL") & (F.col("phoneme") != "SIL"), F.col("start") - 5).otherwise(F.col("start"))
     stop = F.when(many & after.isNotNull() & (after != "SIL"), F.col("stop") + 5).otherwise(F.col("stop"))
     return kept.withColumns({"start": start, "stop": stop})
