@@ -21,9 +21,9 @@ from .textops import WordTable, byte_bpe_ids, slices
 
 
 @lru_cache(2)
-def _tools(path: str) -> tuple[PrefixEncoder, WordTable, int]:
+def _tools(path: str) -> tuple[PrefixEncoder, WordTable]:
     own = encoder(path)
-    return own, WordTable(own.encode_words), own.token_bytes.index(b"<|endoftext|>") if b"<|endoftext|>" in own.token_bytes else 50256
+    return own, WordTable(own.encode_words)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,9 +44,9 @@ def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str =
     path = path or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, _, special = _tools(path)
+        own, _ = _tools(path)
         for batch in batches:
-            texts = [_decode(own, np.frombuffer(x or b"", "<u4"), special).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            texts = [own.decode_bytes(np.frombuffer(x or b"", "<u4")).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     kept = encoded.select(F.col(id_col), F.col("ids"))
@@ -62,12 +62,12 @@ def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     path = path or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, _, special = _tools(path)
+        own, _ = _tools(path)
         for batch, _, ids, bounds in _encoded(batches, path):
             raw = memoryview(ids.astype("<u4").tobytes())
-            text = _decode(own, ids, special)
+            text = own.decode_bytes(ids)
             sizes = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(own.length[ids] if not (ids == special).any() else np.where(ids == special, len(b"<|endoftext|>"), own.length[ids]), out=sizes[1:])
+            np.cumsum(own.shown_length[ids], out=sizes[1:])
             text, cuts, bounds = memoryview(text), sizes[bounds].tolist(), bounds.tolist()
             sha_ids = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             sha_text = [hashlib.sha256(bytes(text[a:b]).decode("utf-8", "replace").encode()).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -78,20 +78,10 @@ def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple]:
-    _, table, special = _tools(path)
+    own, table = _tools(path)
+    special_id, special = next(iter(own.added.items()))
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a, b in slices(texts):
-            ids, bounds = byte_bpe_ids(texts[a:b], table, special_id=special)
+            ids, bounds = byte_bpe_ids(texts[a:b], table, special, special_id)
             yield batch.slice(a, b - a), texts[a:b], ids, bounds
-
-
-def _decode(own: PrefixEncoder, ids: np.ndarray, special: int) -> bytes:
-    marks = np.flatnonzero(ids == special)
-    if not len(marks) or own.length[special]:
-        return own.decode_bytes(ids)
-    parts, begin = [], 0
-    for m in marks.tolist():
-        parts += [own.decode_bytes(ids[begin:m]), b"<|endoftext|>"]
-        begin = m + 1
-    return b"".join([*parts, own.decode_bytes(ids[begin:])])

@@ -25,12 +25,15 @@ class PrefixEncoder:
     """Encodes and decodes with the vocabulary and merges of a tokenizer file."""
 
     def __init__(self, path: str) -> None:
-        model = json.load(open(path, encoding="utf-8"))["model"]
-        signs = byte_signs()
-        self.vocab_size = 1 + max(model["vocab"].values())
+        spec = json.load(open(path, encoding="utf-8"))
+        model, signs = spec["model"], byte_signs()
+        #: Special tokens, which merging never gives: id -> content.
+        self.added = {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+        self.vocab_size = 1 + max([*model["vocab"].values(), *self.added])
         self.token_bytes: list[bytes] = [b""] * self.vocab_size
         for word, i in model["vocab"].items():
-            self.token_bytes[i] = bytes(signs[c] for c in word)
+            if i not in self.added:
+                self.token_bytes[i] = bytes(signs[c] for c in word)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         n = self.vocab_size
         self.length = np.array([len(t) for t in self.token_bytes], np.int32)
@@ -46,6 +49,10 @@ class PrefixEncoder:
         keys = np.array(sorted(pairs), np.int64)
         self.pair_keys, self.pair_ranks = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
         self._build_automaton()
+        shown = [self.added[i].encode() if i in self.added else t for i, t in enumerate(self.token_bytes)]
+        #: What each id stands for in a decoded text.
+        self.shown_length = np.array([len(t) for t in shown], np.int64)
+        self.shown = np.frombuffer(b"".join(shown), np.uint8), np.cumsum(self.shown_length) - self.shown_length
 
     def _build_automaton(self) -> None:
         edges: list[dict[int, int]] = [{}]
@@ -181,14 +188,10 @@ class PrefixEncoder:
             out[stop[who] - 1 - k] = token
         return out, counts
 
-    @lru_cache(1)  # noqa: B019  one encoder lives as long as its process
-    def _decoder(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.cumsum(self.length) - self.length
-        return np.frombuffer(b"".join(self.token_bytes), np.uint8), at.astype(np.int64), self.length.astype(np.int64)
-
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        flat, at, size = self._decoder()
-        sizes = size[ids]
+        """The bytes of the ids, one after another; special tokens stand for their content."""
+        flat, at = self.shown
+        sizes = self.shown_length[ids]
         before = np.cumsum(sizes) - sizes
         return flat[np.repeat(at[ids] - before, sizes) + np.arange(int(sizes.sum()))].tobytes()
 
