@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import saved, shared_folder, ship
+
+__all__ = ["components", "map_arrow", "saved", "shared_folder", "ship", "tokenizer_path"]
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -16,54 +16,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(remove, folder)
-    return folder.rstrip("/")
-
-
-def remove(folder: str) -> None:
-    import shutil
-
-    shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the package to the executors' Python, once per application."""
-    import zipfile
-    from pathlib import Path
-
-    context = spark.sparkContext
-    if getattr(context, "_tidewright_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="tidewright-")) / "tidewright.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for f in sorted(package.rglob("*.py")):
-            out.write(f, f.relative_to(package.parent))
-    context.addPyFile(str(target))
-    context._tidewright_shipped = True
-
-
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow with the package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written as Parquet to the shared folder: later readers start from the table,
-    so lost executors cost no recomputation and its rows stay the same."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), longs: rows (node, component), component the smallest node.
 
@@ -82,7 +40,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(low, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = saved(small.distinct(), "edges")
         # Each round keeps the components; when no edge changes, every node points at its smallest.
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.expr("shiftright(xxhash64(b, a), 8)"))).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
