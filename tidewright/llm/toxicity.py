@@ -13,7 +13,7 @@ Only the text is an input.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,12 +70,12 @@ class Featuriser:
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Vocabulary ids of the words, their n-grams' ids one after another, and each word's number of n-grams."""
         m = self.model
-        flat, sizes = [], []
+        flat, sizes = array("i"), []
         for w in words:
             got = [i for g in gru.grams(w) if (i := m.grams.get(g))] or [0]
-            flat += got
+            flat.extend(got)
             sizes.append(len(got))
-        return np.array([m.words.get(w, 0) for w in words], np.int64), np.array(flat, np.int64), np.array(sizes, np.int64)
+        return np.array([m.words.get(w, 0) for w in words], np.int64), np.frombuffer(flat, np.int32), np.array(sizes, np.int64)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         begin = self.table.n
@@ -116,35 +116,51 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 200, batch: int = 1
     if not len(labels) or labels.min() == labels.max():
         dim_none.constant = float(labels.mean()) if len(labels) else 0.0
         return dim_none
-    seen_words, seen_grams = Counter(), Counter()
+    # Words and n-grams by number from here on, so that memory follows the distinct ones.
+    index: dict[str, int] = {}
     docs = []
     for t in texts:
         whole, _, starts, ends, _ = word_spans([t])
-        docs.append([whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        distinct = set(docs[-1])
-        seen_words.update(distinct)
-        seen_grams.update({g for w in distinct for g in gru.grams(w)})
+        docs.append(np.array([index.setdefault(whole[a:b], len(index)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int32))
+    distinct, gram_index, flat, sizes = list(index), {}, array("i"), []
+    for w in distinct:
+        got = [gram_index.setdefault(g, len(gram_index)) for g in gru.grams(w)]
+        flat.extend(got)
+        sizes.append(len(got))
+    flat, sizes = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.array(sizes, np.int64)
+    at = np.cumsum(sizes) - sizes
+    seen, toxic = ([np.zeros(len(index)), np.zeros(len(gram_index))] for _ in range(2))
+    for d, label in zip(docs, labels.tolist(), strict=True):
+        u = np.unique(d)
+        n = sizes[u]
+        g = np.unique(flat[np.repeat(at[u] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        for k, ids in enumerate((u, g)):
+            seen[k][ids] += 1
+            toxic[k][ids] += label > 0
     least = 3 if len(texts) > 100 else 1
-    pick = lambda seen, most: {w: i for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most], 1) if n >= least}
-    model = Model(pick(seen_words, MOST_WORDS), pick(seen_grams, MOST_GRAMS), {}, 1.0, 0.0)
+
+    def pick(names: list[str], count: np.ndarray, most: int) -> tuple[dict[str, int], np.ndarray]:
+        """The most frequent names by number, from 1; and their places among all."""
+        order = sorted(np.flatnonzero(count >= least).tolist(), key=lambda i: (-count[i], names[i]))[:most]
+        return {names[i]: k for k, i in enumerate(order, 1)}, np.array(order, np.int64)
+
+    known_words, word_places = pick(distinct, seen[0], MOST_WORDS)
+    known_grams, gram_places = pick(list(gram_index), seen[1], MOST_GRAMS)
+    model = Model(known_words, known_grams, {}, 1.0, 0.0)
     p = model.params = gru.fresh_params(1 + len(model.words), 1 + len(model.grams), seed)
     # The first two inputs start as how unevenly a word, an n-gram, is spread over both kinds.
-    toxic_words, toxic_grams = Counter(), Counter()
-    for d in (set(docs[i]) for i in np.flatnonzero(labels > 0).tolist()):
-        toxic_words.update(d)
-        toxic_grams.update({g for w in d for g in gru.grams(w)})
     share = float(labels.mean())
-    for k, (table, vocabulary, seen, toxic) in enumerate((("words", model.words, seen_words, toxic_words), ("grams", model.grams, seen_grams, toxic_grams))):
-        n, hit = (np.array([c[w] for w in vocabulary], np.float64) for c in (seen, toxic))
+    for k, (table, places) in enumerate((("words", word_places), ("grams", gram_places))):
+        n, hit = seen[k][places], toxic[k][places]
         p[table] *= 0.3
         p[table][:, :2] = 0
         p[table][1:, k] = np.clip((hit - n * share) / np.sqrt(n * share * (1 - share) + 1), -2, 8) / 2
+    del gram_index, flat, seen, toxic
 
-    features, distinct = Featuriser(model), sorted({w for d in docs for w in d})
-    index = {w: i for i, w in enumerate(distinct)}
+    features = Featuriser(model)
     words, flat, sizes = features.ids(distinct) if distinct else (np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, np.int64))
     at = np.cumsum(sizes) - sizes
-    codes = np.array([index[w] for d in docs for w in d] + [0], np.int64)
+    codes = np.concatenate([*docs, np.zeros(1, np.int32)])
     first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     owner, begin, size = windows(first)
     of_doc = np.searchsorted(owner, np.arange(len(docs) + 1))
@@ -220,8 +236,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_positive: int, most
     order = F.xxhash64("doc_id")
     chosen = rows.where("toxic = 1").orderBy(order, "doc_id").limit(most_positive).union(rows.where("toxic = 0").orderBy(order, "doc_id").limit(most_negative))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
-    found.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return [r.text or "" for r in found], np.array([r.toxic for r in found], np.float32)
+    found = sorted((r.doc_id, r.toxic, r.text or "") for r in found)
+    return [r[2] for r in found], np.array([r[1] for r in found], np.float32)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, most_positive: int = 800, most_negative: int = 1600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
