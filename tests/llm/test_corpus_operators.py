@@ -61,6 +61,22 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_edit_distance():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("ab c") for _ in range(rng.randint(0, 20))) for _ in range(2))
+        most = rng.randint(0, 20)
+        assert linededup.edit_distance(a, b, most) == min(plain(a, b), most + 1)
+
+
 def test_lines(spark):
     long = " ".join(rng.choice(WORDS) for _ in range(60))
     near = long.replace(long.split()[30], "other", 1)
