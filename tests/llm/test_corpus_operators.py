@@ -7,6 +7,7 @@ import re
 import numpy as np
 
 from tidewright.llm import common, gru, knn, linededup, minhash, toxicity
+from tidewright.llm.textops import mix64
 
 rng = random.Random(9)
 WORDS = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(200)]
@@ -77,6 +78,19 @@ def test_edit_distance():
         assert linededup.edit_distance(a, b, most) == min(plain(a, b), most + 1)
 
 
+def test_simhash():
+    gen = np.random.default_gen(1)
+    sizes = np.array([1, 2, 700, 3, 90_000, 255, 256, 510, 511, 5, *gen.integers(1, 60, 300)])
+    stop = np.cumsum(sizes)
+    words = mix64(gen.integers(0, 2000, stop[-1]).astype(np.uint64))
+    words[706 : 706 + 90_000] = mix64(np.arange(90_000, dtype=np.uint64))
+    got = linededup.simhash(words, stop - sizes, stop)
+    for begin, end, bits in zip(stop - sizes, stop, got, strict=True):
+        distinct = np.unique(words[begin:end] & np.uint64((1 << 40) - 1))
+        votes = np.unpackbits(mix64(distinct[:, None] ^ linededup._SALTS).view(np.uint8).reshape(len(distinct), 24), axis=1)
+        assert (2 * votes.astype(int).sum(axis=0) > len(distinct)).tolist() == bits.tolist()
+
+
 def test_lines(spark):
     long = " ".join(rng.choice(WORDS) for _ in range(60))
     near = long.replace(long.split()[30], "other", 1)
