@@ -79,7 +79,7 @@ def test_edit_distance():
 
 
 def test_simhash():
-    gen = np.random.default_gen(1)
+    gen = np.random.default_rng(1)
     sizes = np.array([1, 2, 700, 3, 90_000, 255, 256, 510, 511, 5, *gen.integers(1, 60, 300)])
     stop = np.cumsum(sizes)
     words = mix64(gen.integers(0, 2000, stop[-1]).astype(np.uint64))
