@@ -40,7 +40,11 @@ _MARK = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
 #: Signs around a token that are not part of it.
 _TRIM = "\"'`()[]{}<>,;:!?*&%$#|=.~^"
-LONGEST = 64
+LONGEST, MOST_DIGITS, GROUPS = 64, 19, 6
+#: Parts of a long list; numbers with brackets, hyphens, dots and single spaces; their groups.
+_PART = re.compile(r"[^\s,;|<>\"'()\[\]{}=&?/\\]+")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z@_])\(?[0-9]++(?:(?=[\x20().-])\x20?[().-]{0,2}\x20?[0-9]++)++(?![A-Za-z@_])")
+_SOLID = re.compile(r"[^\x20]+")
 
 
 def luhn(digits: str) -> bool:
@@ -77,24 +81,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens (with a digit or @) that touch no taken span."""
-    out, at, k = [], 0, 0
+def tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, left, right) of identifier-like pieces (with a digit or @) that touch no taken span.
+
+    They are runs without white space, and runs of digits with single spaces, brackets and hyphens.  A run of over
+    LONGEST characters is cut at separators, one of over MOST_DIGITS digits gives its windows of up to GROUPS groups.
+    The words to the left of left and to the right of right are the context: that of a list is its members'."""
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def trimmed(begin: int, end: int) -> tuple[int, int]:
+        word = text[begin:end]
+        begin += len(word) - len(word.lstrip(_TRIM))
+        return begin, begin + len(word.strip(_TRIM))
+
+    at = 0
     while m := _MARK.search(text, at):
         begin = m.start()
         gap = _SPACE.search(text, begin)
-        end = at = gap.start() if gap else len(text)
-        low = max(0, begin - LONGEST)
+        end, low = gap.start() if gap else len(text), at
+        at = end
         while begin > low and not text[begin - 1].isspace():
             begin -= 1
         if end - begin <= LONGEST:
-            word = text[begin:end]
-            left = len(word) - len(word.lstrip(_TRIM))
-            begin, end = begin + left, begin + left + len(word.strip(_TRIM))
-            while k < len(taken) and taken[k][1] <= begin:
-                k += 1
-            if end - begin >= 6 and not any(s < end and e > begin for s, e, _ in taken[k : k + 4]):
-                out.append((begin, end))
+            span = trimmed(begin, end)
+            found[span] = span
+        else:
+            for x in _PART.finditer(text, begin, end):
+                if _MARK.search(x[0]):
+                    found.setdefault(trimmed(*x.span()), trimmed(begin, end))
+    for m in _NUMBER.finditer(text):
+        begin, end = m.span()
+        if text[begin] == "(" and ")" not in m[0]:
+            begin += 1
+        if len(_DIGIT.findall(m[0])) <= MOST_DIGITS:
+            found.setdefault((begin, end), (begin, end))
+            continue
+        groups = [x.span() for x in _SOLID.finditer(text, begin, end)]
+        for i in range(len(groups)):
+            digits = 0
+            for s, e in groups[i : i + GROUPS]:
+                digits += len(_DIGIT.findall(text, s, e))
+                if digits > MOST_DIGITS:
+                    break
+                if digits >= 7:
+                    found.setdefault((groups[i][0], e), (groups[i][0], e))
+    out, k = [], 0
+    for (begin, end), around in sorted(found.items()):
+        while k < len(taken) and taken[k][1] <= begin:
+            k += 1
+        if end - begin >= 6 and not any(s < end and e > begin for s, e, _ in taken[k : k + 4]):
+            out.append((begin, end, *around))
     return out
 
 
@@ -149,10 +185,10 @@ def scanned(docs: DataFrame) -> DataFrame:
                     found = []
                     for s, e, kind in base:
                         found.append((s, e, kind, 0, _name(text[s:e].lower()), contexts(text, s, e)))
-                    for s, e in tokens(text, base):
+                    for s, e, left, right in tokens(text, base):
                         shapes = sum(1 << k for k in range(4) if suits(k, text[s:e]))
                         if shapes:
-                            found.append((s, e, -1, shapes, _name(text[s:e].lower()), contexts(text, s, e)))
+                            found.append((s, e, -1, shapes, _name(text[s:e].lower()), contexts(text, left, right)))
                     listed = _listed(base)
                     rows.append((*(sum(x[2] == k for x in base) for k in range(4)), hashlib.sha256(listed.encode()).hexdigest(), listed, [dict(zip(("start", "stop", "kind", "shapes", "name", "patterns"), f, strict=True)) for f in found]))
                 n = piece.num_rows
