@@ -166,7 +166,7 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-_SCHEMA = "doc_id long, part int, pos long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<start int, stop int, kind int, shapes int, name long, patterns array<long>>>"
+_SCHEMA = "doc_id long, text_hash long, part int, pos long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<start int, stop int, kind int, shapes int, name long, patterns array<long>>>"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -194,10 +194,10 @@ def scanned(docs: DataFrame) -> DataFrame:
                 n = piece.num_rows
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 7
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [cell]
-                yield pa.record_batch([piece.column(0), pa.array([part] * n, pa.int32()), pa.array(range(pos, pos + n), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "part", "pos", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"])
+                yield pa.record_batch([piece.column(0), piece.column(2), pa.array([part] * n, pa.int32()), pa.array(range(pos, pos + n), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "text_hash", "part", "pos", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"])
                 pos += n
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")), run, _SCHEMA)
 
 
 def discovered(table: DataFrame, rounds: int, least_seeds: int, least_confidence: float, least_score: float) -> DataFrame:
@@ -222,6 +222,10 @@ def discovered(table: DataFrame, rounds: int, least_seeds: int, least_confidence
 
 def extract(docs: DataFrame, rounds: int = 3, least_seeds: int = 5, least_confidence: float = 0.7, least_score: float = 0.8) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found): counts are of base spans; spans are all."""
+    return _extracted(docs, rounds, least_seeds, least_confidence, least_score).drop("text_hash")
+
+
+def _extracted(docs: DataFrame, rounds: int = 3, least_seeds: int = 5, least_confidence: float = 0.7, least_score: float = 0.8) -> DataFrame:
     table = saved(scanned(docs), "spans")
     new = discovered(table, rounds, least_seeds, least_confidence, least_score)
     candidates = table.select("part", "pos", F.explode("found").alias("f")).where("f.kind < 0").select("part", "pos", "f.start", "f.stop", "f.name")
@@ -230,17 +234,19 @@ def extract(docs: DataFrame, rounds: int = 3, least_seeds: int = 5, least_confid
     ordered = F.transform(F.array_sort(F.transform(F.concat(base, "more"), lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["stop"].alias("stop")))), lambda f: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), f["kind"] + 1), f["start"], f["stop"]))
     spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_join(ordered, ","))
     out = table.join(more, ["part", "pos"], "left")
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_found"))
+    return out.select("doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_found"))
 
 
 def masked(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with every span replaced by its kind in brackets; n_chars, if there, follows the text.
 
-    Further spans are joined by id (rows with equal ids share them); base spans are those of the row itself."""
-    found = extract(docs, **options).where("n_found > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("spans").alias("_spans")).withColumnRenamed("doc_id", "_doc")
+    Further spans are joined by id and hash of the text, as rows of equal id may have different texts; rows where both
+    are equal have equal spans.  Base spans are those of the row itself."""
+    found = _extracted(docs, **options).where("n_found > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.min("spans").alias("_spans"))
     found = saved(found, "found")
     few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    rows = docs.join(F.broadcast(found) if few else found.hint("merge"), docs["doc_id"] == found["_doc"], "left").select(*docs.columns, "_spans")
+    same = (F.xxhash64(docs["text"]) == found["_hash"]) & docs["doc_id"].cast("long").eqNullSafe(found["_doc"])
+    rows = docs.join(F.broadcast(found) if few else found.hint("merge"), same, "left").select(*docs.columns, "_spans")
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
