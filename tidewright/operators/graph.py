@@ -17,15 +17,23 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("targets"))
 
 
-def depths(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, depth): the longest way from a root in an acyclic graph, level by level.
 
-    Each level keeps distinct nodes only, so a level is at most all nodes."""
+    Each level keeps distinct nodes only, so a level is at most all nodes.  No way has more levels than there are
+    sources of edges, so a level beyond that means a cycle, which raises an error."""
     level = saved(roots(nodes, edges).select("node"), "level")
+    most = edges.select("src").distinct().count()
     out = level.withColumn("depth", F.lit(0).cast("bigint"))
-    for d in range(1, most + 1):
+    d = 0
+    while True:
+        d += 1
         level = saved(edges.join(level.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct(), "level")
         if level.isEmpty():
             break
+        if d > most:
+            raise ValueError("the graph has a cycle")
         out = out.union(level.withColumn("depth", F.lit(d).cast("bigint")))
+        if d % 50 == 0:
+            out = saved(out.groupBy("node").agg(F.max("depth").alias("depth")), "depths")
     return out.groupBy("node").agg(F.max("depth").alias("depth"))
