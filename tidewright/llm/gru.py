@@ -14,7 +14,7 @@ Params = dict[str, np.ndarray]
 
 def grams(word: str, sizes: tuple[int, ...] = (3, 4)) -> list[str]:
     """Character n-grams of a word with marks at its ends."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     return [w[i : i + n] for n in sizes for i in range(len(w) - n + 1)] or [w]
 
 

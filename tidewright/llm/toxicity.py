@@ -28,6 +28,7 @@ from .textops import LETTER, NUMBER, WordTable, class_table, joined, runs, slice
 
 WIDTH, STRIDE = 32, 16
 MOST_WORDS, MOST_GRAMS = 20_000, 40_000
+LONGEST = 40
 #: Windows scored at once.
 LANES = 1024
 
@@ -43,10 +44,17 @@ class Model:
 
 
 def word_spans(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Joined lower-case text, its code points, starts and ends of its words (letters, digits), and the texts' bounds among them."""
+    """Joined lower-case text, its code points, starts and ends of its words (letters, digits), and the texts' bounds among them.
+
+    A run of over LONGEST characters is cut into pieces that overlap by half; each counts as a word."""
     whole, cps, bounds = joined([t.lower() if t else None for t in texts])
     kind = class_table()[cps]
     starts, ends = runs((kind == LETTER) | (kind == NUMBER), bounds)
+    if len(starts) and (ends - starts).max() > LONGEST:
+        count = 1 + np.maximum(0, -(-(ends - starts - LONGEST) // (LONGEST // 2)))
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        starts, ends = np.repeat(starts, count) + place * (LONGEST // 2), np.repeat(ends, count)
+        ends = np.minimum(ends, starts + LONGEST)
     return whole, cps, starts, ends, np.searchsorted(starts, bounds)
 
 
