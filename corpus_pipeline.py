@@ -51,7 +51,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL cannot express these stages; tests hold the pipeline against a brute-force version.
+#: SQL cannot express these stages; tests rerun them one by one, and hold near and line dedup against brute force.
 ORACLE_SQL = None
 
 
