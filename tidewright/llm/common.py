@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved, shared_folder, ship
+from ..session import discard, saved, shared_folder, ship
 
-__all__ = ["components", "map_arrow", "saved", "shared_folder", "ship", "tokenizer_path"]
+__all__ = ["components", "discard", "free_name", "map_arrow", "saved", "shared_folder", "ship", "tokenizer_path"]
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,6 +16,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}") in taken:
+        pass
+    return name
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow with the package at hand on the executors."""
     ship(df.sparkSession)
@@ -38,7 +46,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = saved(small.distinct(), "edges")
+        before, edges = edges, saved(small.distinct(), "edges")
+        discard(before)
         # Each round keeps the components; when no edge changes, every node points at its smallest.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if now == state:

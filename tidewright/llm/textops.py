@@ -18,7 +18,6 @@ SLICE = 400_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
-_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,36 +30,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd multiplier modulo 2**64 and their inverses, grown on demand."""
+#: Cells that are hashed one after another; longer segments are hashed in chunks, and so are their chunks' hashes.
+_CHUNK = 16
+_BYTE_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_POINT_MASK = np.array([(1 << (21 * k)) - 1 for k in range(4)], np.uint64)
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-        self.inverse = np.uint64(pow(int(_STEP), -1, 2**64))
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up), 1 << 16)
-            ones = np.full(size, _STEP, np.uint64)
-            ones[0] = 1
-            self.up = np.cumprod(ones, dtype=np.uint64)
-            ones = np.full(size, self.inverse, np.uint64)
-            ones[0] = 1
-            self.down = np.cumprod(ones, dtype=np.uint64)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-_BYTE_VALUES = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MULT)
+def _packed(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """At each place the next 8 bytes, 3 code points or 1 word as one number; masks by the symbols that count."""
+    if symbols.dtype == np.uint8:
+        raw = np.concatenate([symbols, np.zeros(8, np.uint8)])
+        return np.ndarray(len(symbols), "<u8", raw, strides=(1,)), _BYTE_MASK
+    if symbols.dtype.itemsize < 8:
+        wide = np.concatenate([symbols, np.zeros(2, symbols.dtype)]).astype(np.uint64)
+        return wide[:-2] | wide[1:-1] << np.uint64(21) | wide[2:] << np.uint64(42), _POINT_MASK
+    return symbols, None
 
 
 def segment_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``symbols[s:e]``, equal for equal segments wherever they lie."""
-    up, down = _POWERS.upto(len(symbols) + 1)
-    sums = np.zeros(len(symbols) + 1, np.uint64)
-    values = _BYTE_VALUES[symbols] if symbols.dtype == np.uint8 else mix64((symbols.astype(np.uint64) + np.uint64(1)) * _MULT)
-    np.cumsum(values * up[: len(symbols)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT)
+    """64-bit hashes of ``symbols[s:e]``, equal for equal segments wherever they lie.
+
+    Every step mixes what came before with the next symbols, so that no arithmetic of a
+    sum of powers lets built-up texts share a hash."""
+    cells, masks = _packed(symbols)
+    step = 1 if masks is None else len(masks) - 1
+    lengths = ends - starts
+    counts = -(-lengths // step)
+    h = mix64((lengths.astype(np.uint64) + np.uint64(1)) * _MULT)
+    if len(counts) and counts.max() > _CHUNK:
+        long = np.flatnonzero(counts > _CHUNK)
+        parts = -(-counts[long] // _CHUNK)
+        last = np.cumsum(parts)
+        begin = np.repeat(starts[long], parts) + _CHUNK * step * (np.arange(last[-1]) - np.repeat(last - parts, parts))
+        inner = segment_hashes(symbols, begin, np.minimum(begin + _CHUNK * step, np.repeat(ends[long], parts)))
+        h[long] = mix64(h[long] ^ segment_hashes(inner, last - parts, last))
+        counts = counts.copy()
+        counts[long] = 0
+    at = np.flatnonzero(counts)
+    k = 0
+    while len(at):
+        x = cells[starts[at] + k * step]
+        if masks is not None:
+            x = x & masks[np.minimum(lengths[at] - k * step, step)]
+        h[at] = mix64((h[at] ^ x) + _MULT)
+        k += 1
+        at = at[counts[at] > k]
+    return h
 
 
 def slices(texts: list[str | None], most: int = SLICE) -> Iterator[tuple[int, int]]:
