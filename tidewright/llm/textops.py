@@ -127,7 +127,9 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 def class_table() -> np.ndarray:
     """Per code point: letter, number, white space or other."""
     by = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((by.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    table = np.full(0x110000, OTHER, np.uint8)
+    for a, b in ((0, 0x40000), (0xE0000, 0xE1000)):  # no other plane has letters or numbers
+        table[a:b] = np.fromiter((by.get(unicodedata.category(chr(c))[0], OTHER) for c in range(a, b)), np.uint8, b - a)
     table[WHITE_SPACE] = SPACE
     return table
 
