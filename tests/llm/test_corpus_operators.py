@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from tidewright.llm import common, gru, knn, linededup, minhash, toxicity
+from tidewright.llm import common, editdist, gru, knn, linededup, minhash, toxicity
 from tidewright.llm.textops import mix64
 
 rng = random.Random(9)
@@ -75,7 +75,7 @@ def test_edit_distance():
     for _ in range(2000):
         a, b = ("".join(rng.choice("ab c") for _ in range(rng.randint(0, 20))) for _ in range(2))
         most = rng.randint(0, 20)
-        assert linededup.edit_distance(a, b, most) == min(plain(a, b), most + 1)
+        assert editdist.edit_distance(a, b, most) == min(plain(a, b), most + 1)
 
 
 def test_simhash():
