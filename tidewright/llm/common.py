@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import discard, saved, shared_folder, ship
 
@@ -24,7 +25,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """df.mapInArrow with the package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

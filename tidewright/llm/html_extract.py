@@ -25,6 +25,7 @@ from .common import map_arrow
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noframes", "xmp", "noembed"}
+_END = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
 #: An opening tag that ends an open element of these kinds, up to the nearest of the last kinds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
@@ -53,7 +54,7 @@ class Node:
 def parse(page: str) -> Node:
     """The element tree; comments, declarations and raw texts are left out."""
     root = top = Node("#root", None)
-    at, low = 0, None
+    at = 0
     while True:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -88,11 +89,11 @@ def parse(page: str) -> Node:
         node = Node(name, top, attributes)
         top.children.append(node)
         if name in RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{name}", at)
-            at = len(page) if end < 0 else end
-            if end >= 0:
-                close = page.find(">", end)
+            # On the page itself: letters that grow in lower case would shift places.
+            end = _END[name].search(page, at)
+            at = len(page)
+            if end:
+                close = page.find(">", end.start())
                 at = len(page) if close < 0 else close + 1
         elif name not in VOID and not (attributes.endswith("/") and name in ("path", "circle", "rect", "use")):
             top = node

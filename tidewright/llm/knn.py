@@ -92,7 +92,7 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nda
                 if s and alive.mean() < 0.02:
                     qi, ci = np.nonzero(alive)
                     bound = np.einsum("nd,nd->n", sq[a + qi], sc[ci])
-                    far = bound + 1e-9 * np.abs(bound) + 1e-3 < floor[qi]
+                    far = bound + 1e-9 * (q2[a + qi] + c2[ci]) + 1e-3 < floor[qi]
                     alive[qi[far], ci[far]] = False
                 else:
                     distance = q2[a:b, None] + c2[None, :] - 2 * (sq[a:b] @ sc.T)  # lower bound of the squared distance

@@ -20,7 +20,8 @@ connected are not formed.
 
 Null and empty texts have empty sets and are linked with nothing.  Rows without an
 id are linked with nothing and kept.  Of rows with the same id, a link of any holds
-for all.  Other columns are kept by ``near_duplicates_removed`` and not read else.
+for all in ``link_components``; ``near_duplicates_removed`` tells rows of equal id apart
+by their texts.  Other columns are kept by it, whatever their names, and not read else.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, saved
+from .common import components, free_name, map_arrow, saved
 from .textops import joined_bytes, mix64, runs, segment_hashes, slices
 
 #: Ids that are broadcast at most; with more, texts are joined by a shuffle.
@@ -229,6 +230,21 @@ def link_components(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
 
 
 def near_duplicates_removed(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that are the first of their component (or have no id)."""
-    found = link_components(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_dropped"], "left_anti")
+    """The rows of docs, all columns: one of each component, the smallest id; rows without an id are all kept.
+
+    Where ids repeat, rows of equal id and text are one document, of which one row is kept, and rows of equal id and
+    different texts are different documents: they are told apart by a hash of both."""
+    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    own = free_name(docs, "dropped")
+    if ids.where("n > 1").limit(1).count() == 0:
+        found = link_components(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct()
+        return docs.join(found, docs["doc_id"] == found[own], "left_anti")
+    node = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    known = docs.where("doc_id is not null")
+    nodes = saved(known.select(node.alias("node"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    found = link_components(known.select(node.alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("node"), "component_id").distinct().join(nodes, "node")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("m")).select(F.col("m.node").alias(own))
+    kept = known.join(first, node == first[own], "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = kept.select(*columns, node.alias(own)).dropDuplicates([own]).select(*columns)
+    return kept.union(docs.where("doc_id is null"))

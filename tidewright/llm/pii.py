@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, saved
+from .common import free_name, map_arrow, saved
 
 KINDS = ["email", "ip", "card", "phone"]
 MOST_BROADCAST = 200_000
@@ -242,11 +242,12 @@ def masked(docs: DataFrame, **options) -> DataFrame:
 
     Further spans are joined by id and hash of the text, as rows of equal id may have different texts; rows where both
     are equal have equal spans.  Base spans are those of the row itself."""
-    found = _extracted(docs, **options).where("n_found > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.min("spans").alias("_spans"))
-    found = saved(found, "found")
+    found = _extracted(docs, **options).where("n_found > 0").groupBy("doc_id", "text_hash").agg(F.min("spans").alias("spans"))
+    own = [free_name(docs, x) for x in ("doc", "hash", "spans")]
+    found = saved(found.toDF(*own), "found")
     few = found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    same = (F.xxhash64(docs["text"]) == found["_hash"]) & docs["doc_id"].cast("long").eqNullSafe(found["_doc"])
-    rows = docs.join(F.broadcast(found) if few else found.hint("merge"), same, "left").select(*docs.columns, "_spans")
+    same = (F.xxhash64(docs["text"]) == found[own[1]]) & docs["doc_id"].cast("long").eqNullSafe(found[own[0]])
+    rows = docs.join(F.broadcast(found) if few else found.hint("merge"), same, "left").select(*(docs[c] for c in docs.columns), own[2])
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,29 +1,33 @@
 """Toxicity scores by a bidirectional gated recurrent network over overlapping windows.
 
-The network is trained on the driver, in numpy, on a bounded sample of labelled
-documents (``most_positive`` and ``most_negative``, by a hash of their ids); rows
-whose crc32(id as text) mod 5 is 0 are never used.  Whole texts are cut into windows
+The network is trained in numpy by one task, on a bounded sample of labelled documents
+(``most_positive`` and ``most_negative``, by a hash of their ids); the driver holds the
+trained model's bytes only.  Rows whose crc32(id as text) mod 5 is 0 are never used.  Whole texts are cut into windows
 of ``WIDTH`` words, each starting ``STRIDE`` words after the one before; every window
 is scored, and a document has the score of its highest window.
 
 Null and empty texts, and texts without words, are one empty window.  Without
 labels of both kinds the score is the share of label 1 (0, if there are none).
-Only the text is an input.
+Only the text is an input.  Repeated rows each get a row; rows without an id are scored.
+Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import gru
-from .common import map_arrow
+from .common import map_arrow, saved
 from .textops import LETTER, NUMBER, WordTable, class_table, joined, runs, slices
 
 WIDTH, STRIDE = 32, 16
@@ -237,26 +241,43 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0] / dev), float(b[1] - b[0] * mean / dev)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_negative: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of the training sample, in a fixed order."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_negative: int) -> DataFrame:
+    """(doc_id, toxic, text) of the training sample."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.where("toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = rows.where("toxic = 1").orderBy(order, "doc_id").limit(most_positive).union(rows.where("toxic = 0").orderBy(order, "doc_id").limit(most_negative))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
-    found = sorted((r.doc_id, r.toxic, r.text or "") for r in found)
-    return [r[2] for r in found], np.array([r[1] for r in found], np.float32)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, most_positive: int = 800, most_negative: int = 1600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with score (double) and n_windows (long)."""
-    model = train(*labelled_sample(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, most_positive, most_negative))
-    names = docs.columns
+def trained(sample: DataFrame) -> bytes:
+    """The model fitted to rows (doc_id, toxic, text) by one task, whatever their order, as bytes."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, y, t or "") for batch in batches for i, y, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        model = train([r[2] for r in rows], np.array([r[1] for r in rows], np.float32))
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return bytes(map_arrow(saved(sample, "sample").repartition(1), fit, "model binary").first().model)
+
+
+@lru_cache(1)
+def _loaded(model: bytes) -> Model:
+    return pickle.loads(model)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, most_positive: int = 800, most_negative: int = 1600, id_col: str = "doc_id", text_col: str = "text", score_col: str = "_score", windows_col: str = "_windows") -> DataFrame:
+    """The rows of docs, all columns, with score_col (double) and windows_col (long), which docs must not have."""
+    packed = trained(labelled_sample(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, most_positive, most_negative))
+    names, schema = docs.columns, docs.schema
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _loaded(packed)
         features = Featuriser(model)
         for batch in batches:
-            texts = batch.column(names.index(text_col)).to_pylist()
+            texts = batch.column(at).to_pylist()
             for a, b in slices(texts):
                 if model.constant is not None:
                     score, count = np.full(b - a, model.constant), np.zeros(b - a, np.int64)
@@ -266,7 +287,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, most_positive: int = 800
                     best = np.maximum.reduceat(logits, np.cumsum(count) - count).astype(np.float64)
                     score = 1 / (1 + np.exp(-np.clip(model.scale * best + model.shift, -40, 40)))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(count.astype(np.int64))], names=[*names, "_score", "_windows"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(count.astype(np.int64))], names=[*names, score_col, windows_col])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_score double, _windows long"])
-    return map_arrow(docs, run, schema)
+    added = StructType([*schema.fields, StructField(score_col, DoubleType()), StructField(windows_col, LongType())])
+    return map_arrow(docs, run, added)
