@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import linededup, minhash, packing, pii, toxicity
-from tidewright.llm.common import shared_folder
+from tidewright.llm.common import free_name, shared_folder
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not predicted toxic."""
-    scored = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where(F.col("_score") < 0.5).select(*docs.columns)
+    score, windows = free_name(docs, "score"), free_name(docs, "windows")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score_documents(docs, labels, score_col=score, windows_col=windows)
+    return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
