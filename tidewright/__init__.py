@@ -1 +1 @@
-"""tidewright: timed-sequence analytics on PySpark."""
+"""Timed-sequence analytics and corpus preparation on PySpark."""

@@ -193,3 +193,40 @@ def valid(value: Column, *, nonempty: bool = False, ascii_only: bool = False, le
 def is_clock(value: Column, seconds: bool = False) -> Column:
     """HH:mm, with hours below 24; or HH:mm:ss, whose hours are not checked."""
     return value.rlike(r"^[0-9]{2}:[0-5][0-9]:[0-5][0-9]$" if seconds else r"^([01][0-9]|2[0-3]):[0-5][0-9]$")
+
+
+def replacement_token(word: Column) -> Column:
+    """A replacement's phonemes joined by _: hyphens become _, else one follows each sign but stress signs and what ː lengthens."""
+    spread = F.replace(F.regexp_replace(word, '([^ˈ"ˌ])', "$1_"), F.lit("_ː"), F.lit("ː"))
+    return F.btrim(F.when(F.contains(word, F.lit("-")), F.replace(word, F.lit("-"), F.lit("_"))).otherwise(spread), F.lit("_"))
+
+
+def phoneme_tokens(translated: Column) -> Column:
+    """Structs (phoneme, word_start) of a translation: words by spaces, phonemes by _, empty ones left out."""
+    words = F.filter(F.transform(F.split(translated, " "), lambda w: F.filter(F.split(w, "_"), lambda p: p != "")), lambda w: F.size(w) > 0)
+    return F.flatten(F.transform(words, lambda w: F.transform(w, lambda p, i: F.struct(p.alias("phoneme"), (i == 0).alias("word_start")))))
+
+
+def phoneme_count(translated: Column) -> Column:
+    """Phonemes that the duration of generated audio follows: parts between spaces and _, empty ones counted too."""
+    return F.size(F.split(F.translate(translated, "_", " "), " ", -1)).cast("bigint")
+
+
+def letters_to_say(word: Column) -> Column:
+    """The letters of a word without pronunciation: without apostrophes, of equal neighbours one."""
+    plain = F.replace(word, F.lit("'"), F.lit(""))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(plain, r"(?s)(.)\1+", "$1"), "(?!^)(?!$)"))
+
+
+def log_multiply(a: Column, b: Column) -> Column:
+    """log(exp(a) * exp(b))."""
+    return a + b
+
+
+def log_to_base(x: Column, base: float) -> Column:
+    """A natural logarithm in another base."""
+    return x / F.log(F.lit(base))
+
+
+def log_from_base(x: Column, base: float) -> Column:
+    return x * F.log(F.lit(base))

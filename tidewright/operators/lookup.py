@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import letters_to_say
+
 #: Least score and number of the alternatives of a text label, and the default score.
 LEAST_SCORE, MOST_ALTERNATIVES, DEFAULT_SCORE, NOISE_SCORE = 0.1, 25, -1.0, -2.1
 NOISE = ["sil", "+nsn+", "+spn+"]
@@ -49,7 +51,7 @@ def phonetize(words: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def pronounce(words: DataFrame, custom: DataFrame, dictionary: DataFrame, mapped: DataFrame, letters: DataFrame) -> DataFrame:
     """(word, rule): from the custom dictionary, else the recognizer's, else the mapped translation, else letter by letter."""
-    spelled = words.select("word", F.posexplode(F.split("word", "(?!^)")).alias("k", "letter")).join(letters, "letter", "left").groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "alternatives"))), lambda x: x["alternatives"]), " ").alias("spelled"))
+    spelled = words.select("word", F.posexplode(letters_to_say(F.trim("word"))).alias("k", "letter")).join(letters, "letter", "left").groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "alternatives"))), lambda x: x["alternatives"]), " ").alias("spelled"))
     rows = words.join(custom.select("word", F.col("rule").alias("r1")), "word", "left").join(dictionary.select("word", F.col("rule").alias("r2")), "word", "left").join(mapped.select("word", F.col("rule").alias("r3")), "word", "left").join(spelled, "word", "left")
     return rows.select("word", F.coalesce("r1", "r2", "r3", "spelled").alias("rule"))
 

@@ -358,3 +358,9 @@ def graph_depth(s, d):
 @query("SELECT src, count(DISTINCT dst) AS n FROM (SELECT CAST(floor(p_partkey / (CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END)) AS BIGINT) AS src, p_partkey AS dst FROM part WHERE p_partkey > 0) GROUP BY src")
 def graph_adjacency(s, d):
     return graph.adjacency(_edges(s, d)).select("src", F.size("targets").cast("bigint").alias("n"))
+
+
+#: Squeezed texts: a character goes if it equals the one before it, but line breaks stay.
+SQL["consecutive_dedup"] = "SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1] OR x = chr(10)), '') AS squeezed FROM (SELECT conv_id, turn, string_split(text, '') AS l FROM conversations)"
+
+from . import edit_queries  # noqa: E402, F401  registers further queries here
