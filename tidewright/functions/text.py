@@ -62,10 +62,15 @@ def stem(name: Column) -> Column:
 
 def file_id(name: Column) -> Column:
     """The id in a file name: digits at its start (ten at most), else at its end, else all of it; within 32 bits."""
-    s = stem(name)
-    fits = lambda x: F.when(x.try_cast("bigint") <= MAX_ID, x.try_cast("bigint"))
+    return id_of_stem(stem(name))
+
+
+def id_of_stem(s: Column) -> Column:
+    """The id in a file name without its extension."""
     whole = F.when(s.rlike(r"^[+]?[0-9]{1,19}$"), s)
-    return F.coalesce(fits(F.regexp_extract(s, "^([0-9]{1,10})", 1)), fits(F.regexp_extract(s, "([0-9]{1,10})$", 1)), fits(whole))
+    found = F.array(*(x.try_cast("bigint") for x in (F.regexp_extract(s, "^([0-9]{1,10})", 1), F.regexp_extract(s, "([0-9]{1,10})$", 1), whole)))
+    # The first that fits; as a list, each pattern stands in the plan once.
+    return F.get(F.filter(found, lambda x: x <= MAX_ID), 0)
 
 
 def file_duration(name: Column) -> Column:
@@ -73,9 +78,9 @@ def file_duration(name: Column) -> Column:
     return F.regexp_extract(stem(name), r"\[([^\]]*)", 1).try_cast("float")
 
 
-def file_kind(name: Column) -> Column:
-    """audio, unlinked or phonemes; null for other files."""
-    has = file_id(name).isNotNull()
+def file_kind(name: Column, id_: Column | None = None) -> Column:
+    """audio, unlinked or phonemes; null for other files.  The name's id may be given, if it is at hand."""
+    has = (file_id(name) if id_ is None else id_).isNotNull()
     audio = F.endswith(name, F.lit(".wav")) | F.endswith(name, F.lit(".ogg"))
     return F.when(audio & has, "audio").when(audio, "unlinked").when(F.endswith(name, F.lit(".phonemes")) & has, "phonemes")
 

@@ -10,10 +10,16 @@ from ..functions import text as T
 
 def catalogue(names: DataFrame) -> DataFrame:
     """(name, kind, id, duration) of audio and phoneme files; other files are left out."""
-    name = F.col("name")
-    kind = T.file_kind(name)
-    rows = names.select("name", kind.alias("kind"), F.when(kind != "unlinked", T.file_id(name)).alias("id"), F.when(kind == "audio", T.file_duration(name)).alias("duration"))
-    return rows.where("kind is not null")
+    # In steps, so that the generated code stays small: the stem, the id, the kind.
+    stems = names.select("name", T.stem(F.col("name")).alias("stem"))
+    ids = stems.select("name", T.id_of_stem(F.col("stem")).alias("id"))
+    kinds = ids.select("name", "id", T.file_kind(F.col("name"), F.col("id")).alias("kind")).where("kind is not null")
+    return kinds.select(
+        "name",
+        "kind",
+        F.when(F.col("kind") != "unlinked", F.col("id")).alias("id"),
+        F.when(F.col("kind") == "audio", T.file_duration(F.col("name"))).alias("duration"),
+    )
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
