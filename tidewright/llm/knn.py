@@ -5,9 +5,9 @@ segment its mean and its deviation (root of the summed squares around the mean)
 are kept, for few long segments first and for more and shorter ones then.  With
 segments of length L, the squared distance of q and x is at least the sum over
 segments of L * (mean_q - mean_x)**2 + (dev_q - dev_x)**2; as the norms are known,
-this bounds the inner product from above.  Only candidates whose bound reaches the
-k-th best score found so far go on to the next resolution, and survivors are
-scored exactly.
+this bounds the inner product from above.  From coarse to fine, only candidates whose
+bound reaches the k-th best score found so far go on to the next resolution, where the
+survivors with the best bounds may raise it; what survives the finest is scored exactly.
 
 Queries and candidates are dealt into blocks of bounded size, and each pair of
 blocks is one task's group; per query and block at most k rows go on.
@@ -32,6 +32,8 @@ from .common import ship
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
 #: Queries of a block that are worked on at once.
 LANES = 128
+#: Share of surviving pairs above which a resolution is evaluated as one matrix product.
+DENSE = 0.1
 
 
 def whole_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -63,6 +65,23 @@ def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.nda
     return means * np.sqrt([len(p) for p in parts]), devs
 
 
+def _bounds(stat: list[np.ndarray], a: int, b: int) -> np.ndarray:
+    """Upper bounds of the inner products of queries a to b with all candidates.
+
+    The lower bound of the squared distance is |q|^2 + |x|^2 - 2 * (means and deviations of q) . (those of x)."""
+    return stat[0][a:b] @ stat[1].T
+
+
+def _raised(floor: np.ndarray, bound: np.ndarray | None, alive: np.ndarray, q: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The floor after exact scores of the n survivors of each query with the best bounds of this resolution."""
+    if bound is None:
+        return floor
+    near = np.argpartition(np.where(alive, -bound, np.inf), n - 1, axis=1)[:, :n]
+    score = np.einsum("qd,qkd->qk", q, c[near]).astype(np.float64)
+    score[~np.take_along_axis(alive, near, 1)] = -np.inf
+    return np.maximum(floor, score.min(1))
+
+
 def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, candidate id, score) of each query's k best in one block of candidates, which rise by id."""
     width = c.shape[1]
@@ -79,26 +98,24 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nda
         own = c_ids[None, :] == q_ids[a:b, None]
         alive = ~own
         n = min(k, len(c))
-        floor = np.full(b - a, -np.inf)
         if levels and len(c) > 4 * k:
-            # Exact scores of the k that look nearest at the finest resolution give a first floor.
-            lower = -2 * (stats[-1][0][a:b] @ stats[-1][1].T) + q2[a:b, None] + c2[None, :]
-            lower[own] = np.inf
-            near = np.argpartition(lower, n - 1, axis=1)[:, :n]
+            # Exact scores of the k that look nearest at the coarsest resolution give a first floor.
+            near = np.argpartition(-_bounds(stats[0], a, b), n - 1, axis=1)[:, :n]
             score = np.einsum("qd,qkd->qk", qx[a:b], cx[near]).astype(np.float64)
             score[np.take_along_axis(own, near, 1)] = -np.inf
             floor = score.min(1)
-            for s, (sq, sc) in enumerate(stats):
-                if s and alive.mean() < 0.02:
+            for level, stat in enumerate(stats):
+                if alive.mean() > DENSE:
+                    bound = _bounds(stat, a, b)
+                    alive &= bound + 1e-9 * (q2[a:b, None] + c2[None, :]) + 1e-3 >= floor[:, None]
+                else:
                     qi, ci = np.nonzero(alive)
-                    bound = np.einsum("nd,nd->n", sq[a + qi], sc[ci])
+                    bound = np.einsum("nd,nd->n", stat[0][a + qi], stat[1][ci])
                     far = bound + 1e-9 * (q2[a + qi] + c2[ci]) + 1e-3 < floor[qi]
                     alive[qi[far], ci[far]] = False
-                else:
-                    distance = q2[a:b, None] + c2[None, :] - 2 * (sq[a:b] @ sc.T)  # lower bound of the squared distance
-                    bound = (q2[a:b, None] + c2[None, :] - distance) / 2
-                    alive &= bound + 1e-9 * (q2[a:b, None] + c2[None, :]) + 1e-3 >= floor[:, None]
-        scores = qx[a:b] @ cx.T if alive.mean() > 0.02 else None
+                if level + 1 < len(stats):
+                    floor = _raised(floor, bound if bound.ndim == 2 else None, alive, qx[a:b], cx, n)
+        scores = qx[a:b] @ cx.T if alive.mean() > DENSE else None
         for i in range(b - a):
             at = np.flatnonzero(alive[i])
             got = scores[i, at] if scores is not None else cx[at] @ qx[a + i]
