@@ -184,7 +184,7 @@ class WordTable:
     its memory is bounded and nothing is lost.
     """
 
-    def __init__(self, encode, limit: int = 1_500_000) -> None:
+    def __init__(self, encode, limit: int = 500_000) -> None:
         self.encode, self.limit = encode, limit
         self.clear()
 
