@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,10 +29,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bytes of one Arrow batch, where the session has Spark's own default (64 MB): a task holds a batch several times over.
+BATCH_BYTES, DEFAULT_BYTES = "8m", "67108864b"
+
+
+def _released(run, batches: Iterator) -> Iterator:
+    """What run gives; then freed memory goes back to the system, as Python workers are used again by other stages."""
+    yield from run(batches)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """df.mapInArrow with the package at hand on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    ship(spark)
+    if spark.conf.get(key) == DEFAULT_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+    return df.mapInArrow(partial(_released, run), schema)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
