@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordinals import numbered
 
 
 def catalogue(names: DataFrame) -> DataFrame:
@@ -35,14 +36,27 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def task_queue(files: DataFrame) -> DataFrame:
-    """(line_id, audiofile, phonemefile, state, renaming_required): one task per audio id, and one per unlinked file."""
-    audio = keep_first(files.where("kind = 'audio'"), ["id"], ["name"])
-    phonemes = keep_first(files.where("kind = 'phonemes'"), ["id"], ["name"]).select("id", F.col("name").alias("phonemefile"))
-    named = F.col("name").rlike(r"^[0-9]{10}\[[0-9.]+\]")
-    linked = audio.join(phonemes, "id", "left").select(F.col("id").alias("line_id"), F.col("name").alias("audiofile"), "phonemefile", F.when(F.col("phonemefile").isNotNull(), "Finished").otherwise("Waiting").alias("state"), (~named).alias("renaming_required"))
-    loose = files.where("kind = 'unlinked'").select(F.lit(0).cast("bigint").alias("line_id"), F.col("name").alias("audiofile"), F.lit(None).cast("string").alias("phonemefile"), F.lit("UnassignedId").alias("state"), F.lit(True).alias("renaming_required"))
-    return linked.unionByName(loose)
+def task_queue(files: DataFrame, force_rename: bool = False) -> DataFrame:
+    """(line_id, audiofile, phonemefile, state, renaming_required): one task per audio id, and one per unlinked file.
+
+    One pass over the files: all files of an id meet in one aggregate, and an unlinked file is a group of its own.
+    Of several files of an id the first by name counts.  A task with phonemes is finished if its audio file's name has
+    a duration, unless all are to be renamed; a task without a duration in its name is to be renamed."""
+    own = F.when(F.col("kind") == "unlinked", F.monotonically_increasing_id())
+    groups = files.select("kind", "name", "duration", "id", own.alias("own")).groupBy("id", "own")
+
+    def first(kind: str) -> Column:
+        return F.min(F.when(F.col("kind") == kind, F.struct("name", F.col("duration").isNotNull().alias("timed"))))
+
+    tasks = groups.agg(first("audio").alias("audio"), first("phonemes").alias("phonemes"), first("unlinked").alias("loose")).where("audio is not null or loose is not null")
+    unlinked, timed = F.col("loose").isNotNull(), F.col("audio.timed") & F.lit(not force_rename)
+    return tasks.select(
+        F.when(unlinked, 0).otherwise(F.col("id")).cast("bigint").alias("line_id"),
+        F.coalesce("audio.name", "loose.name").alias("audiofile"),
+        F.col("phonemes.name").alias("phonemefile"),
+        F.when(unlinked, "UnassignedId").when(F.col("phonemes").isNotNull() & timed, "Finished").otherwise("Waiting").alias("state"),
+        (unlinked | ~timed).alias("renaming_required"),
+    )
 
 
 def queue_stats(tasks: DataFrame) -> DataFrame:
@@ -56,9 +70,9 @@ def next_waiting(tasks: DataFrame) -> DataFrame:
 
 
 def captions(tasks: DataFrame) -> DataFrame:
-    """(slot, caption) in queue order; the slot is a rank over the whole queue, which is a display."""
-    order = Window.orderBy("line_id", "audiofile")
-    return tasks.withColumn("slot", F.row_number().over(order)).select("slot", F.format_string("%d: %010d %s %s", "slot", "line_id", "state", "audiofile").alias("caption"))
+    """(slot, caption) in queue order."""
+    placed = numbered(tasks.select("line_id", "state", "audiofile"), ["line_id", "audiofile"], "slot")
+    return placed.select("slot", F.format_string("%d: %010d %s %s", "slot", "line_id", "state", "audiofile").alias("caption"))
 
 
 def missing_lines(lines: DataFrame, audio: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordinals import numbered
+
 #: States in which a task can be selected, and what a line selection shows without a line or provider.
 SELECTABLE = ["UnassignedId", "Finished"]
 NO_TEXT, NO_PROVIDER = "text not found", "missing strings provider!"
@@ -36,8 +38,8 @@ def existing(ids: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def task_ids(tasks: DataFrame, *order: str) -> DataFrame:
-    """Tasks numbered from 1; the queue of one user is numbered as a whole."""
-    return tasks.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    """Tasks numbered from 1 in the given order."""
+    return numbered(tasks, list(order), "id")
 
 
 def updated(tasks: DataFrame, changes: DataFrame) -> DataFrame:
@@ -47,22 +49,28 @@ def updated(tasks: DataFrame, changes: DataFrame) -> DataFrame:
     return tasks.join(new, "id", "left").select(*(F.coalesce(f"_new.{c}", c).alias(c) if c in own else c for c in tasks.columns))
 
 
+#: The errors of a removal.
+NOT_FOUND, IN_WORK = "task (%d) not found.", "cannot remove task in processing state"
+
+
 def removed(tasks: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, error) of the removal of ids; a null error means that the task goes."""
     found = ids.select("id").join(tasks.select("id", "state"), "id", "left")
-    missing = F.format_string("task (%d) not found.", "id")
-    return found.select("id", F.when(F.col("state").isNull(), missing).when(F.col("state") == "Processing", "cannot remove task in processing state").alias("error"))
+    missing = F.format_string(NOT_FOUND, "id")
+    return found.select("id", F.when(F.col("state").isNull(), missing).when(F.col("state") == "Processing", IN_WORK).alias("error"))
 
 
 def without(tasks: DataFrame, ids: DataFrame) -> DataFrame:
-    """tasks without those that may be removed."""
-    return tasks.join(removed(tasks, ids).where("error is null").select("id"), "id", "left_anti")
+    """tasks without those that may be removed.  A task in work stays in the queue when its removal fails: an error
+    leaves the table as it was."""
+    return tasks.join(ids.select("id").join(tasks.where("state = 'Processing'").select("id"), "id", "left_anti"), "id", "left_anti")
 
 
 def prepended(queue: DataFrame, more: DataFrame) -> DataFrame:
     """Actions (pos, action) with more of them before the others, in the order of both."""
-    rows = queue.select(F.lit(1).alias("_late"), "pos", "action").union(more.select(F.lit(0), "pos", "action"))
-    return rows.select((F.row_number().over(Window.orderBy("_late", "pos")) - 1).cast("bigint").alias("pos"), "action")
+    rows = queue.select(F.lit(1).alias("late"), "pos", "action").union(more.select(F.lit(0), "pos", "action"))
+    placed = numbered(rows.withColumnRenamed("pos", "old"), ["late", "old"], "pos", first=0)
+    return placed.select("pos", "action")
 
 
 def selected_actor(actors: DataFrame, available: DataFrame) -> DataFrame:
@@ -115,5 +123,5 @@ def listing(files: DataFrame) -> DataFrame:
     """(slot, name, is_dir) of a folder's entries: `..`, then folders, then files, by name."""
     up = files.sparkSession.createDataFrame([("..", True)], "name string, is_dir boolean")
     rows = files.select("name", "is_dir").union(up)
-    order = Window.orderBy(F.col("name") != "..", ~F.col("is_dir"), "name")
-    return rows.select(F.row_number().over(order).cast("bigint").alias("slot"), "name", "is_dir")
+    placed = numbered(rows, [F.col("name") != "..", ~F.col("is_dir"), "name"], "slot")
+    return placed.select("slot", "name", "is_dir")

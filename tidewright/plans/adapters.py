@@ -108,3 +108,22 @@ def sim(spark: SparkSession) -> DataFrame:
 
 
 SIM_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{a}', {k}, CAST({s} AS DOUBLE))" for k, (a, t, s) in enumerate(SIM)) + ") v(text_ph, audio_ph, col_pos, score)"
+
+
+def matrix(spark: SparkSession, d: str) -> DataFrame:
+    """A similarity matrix (text_ph, audio_ph, kind, col_pos, score) from events: how often the labels of an event meet."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint") % 7
+    kind, place = F.col("event_type"), F.col("event_id") % 8
+    pairs = table(spark, d, "events").select(F.concat(F.lit("t"), k.cast("string")).alias("text_ph"), F.concat_ws("_", kind, place.cast("string")).alias("audio_ph"), kind.alias("kind"))
+    counts = pairs.groupBy("text_ph", "audio_ph", "kind").agg(F.count("*").alias("n"))
+    total = counts.groupBy("text_ph").agg(F.sum("n").alias("total"))
+    columns = counts.groupBy("audio_ph").agg(F.count("*").alias("texts"))
+    # Few labels, however many events: the position of a column is the number of labels before it.
+    before = columns.select(F.col("audio_ph").alias("other"))
+    ranked = columns.join(before, F.col("other") < F.col("audio_ph"), "left").groupBy("audio_ph").agg(F.count("other").alias("col_pos"))
+    score = F.round(F.col("n") * 200 / F.col("total") - 5, 4)
+    return counts.join(total, "text_ph").join(ranked, "audio_ph").select("text_ph", "audio_ph", "kind", "col_pos", score.alias("score"))
+
+
+MATRIX = """SELECT text_ph, audio_ph, kind, dense_rank() OVER (ORDER BY audio_ph) - 1 AS col_pos, round(n * 200.0 / sum(n) OVER (PARTITION BY text_ph) - 5, 4) AS score
+FROM (SELECT 't' || CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 7 AS text_ph, event_type || '_' || event_id % 8 AS audio_ph, event_type AS kind, count(*) AS n FROM events GROUP BY ALL)"""

@@ -232,9 +232,9 @@ def log_domain(s, d):
     return A.table(s, d, "events").select("event_id", F.round(T.log_add(a, b), 6).alias("log_sum"), F.round(T.log_multiply(a, b), 6).alias("log_product"), F.round(T.log_to_base(a, 1.0001), 3).alias("in_base"))
 
 
-@query(f"SELECT count(*) FILTER (WHERE score <> -1.0) AS explicit_scores, count(*) AS cells FROM ({A.SIM_SQL})")
+@query(f"SELECT count(*) FILTER (WHERE score <> -1.0) AS explicit_scores, count(*) AS cells FROM ({A.MATRIX})")
 def explicit_scores(s, d):
-    return A.sim(s).agg(F.count_if(F.col("score") != -1.0).alias("explicit_scores"), F.count("*").alias("cells"))
+    return A.matrix(s, d).agg(F.count_if(F.col("score") != -1.0).alias("explicit_scores"), F.count("*").alias("cells"))
 
 
 @query()

@@ -47,9 +47,9 @@ def file_catalog(s, d):
     return catalog.catalogue(A.names(s, d)).select("name", "kind", "id", F.col("duration").cast("double").alias("seconds"))
 
 
-_TASKS = f"""SELECT a.id AS line_id, a.name AS audiofile, p.name AS phonemefile, CASE WHEN p.name IS NULL THEN 'Waiting' ELSE 'Finished' END AS state,
-    NOT regexp_matches(a.name, '^[0-9]{{10}}\\[[0-9.]+\\]') AS renaming_required
-  FROM (SELECT id, min(name) AS name FROM ({A.FILES}) WHERE kind = 'audio' GROUP BY id) a
+_TASKS = f"""SELECT a.id AS line_id, a.name AS audiofile, p.name AS phonemefile, CASE WHEN p.name IS NOT NULL AND a.secs THEN 'Finished' ELSE 'Waiting' END AS state,
+    NOT a.secs AS renaming_required
+  FROM (SELECT id, min(name) AS name, arg_min(secs IS NOT NULL, name) AS secs FROM ({A.FILES}) WHERE kind = 'audio' GROUP BY id) a
   LEFT JOIN (SELECT id, min(name) AS name FROM ({A.FILES}) WHERE kind = 'phonemes' GROUP BY id) p ON a.id = p.id
   UNION ALL SELECT 0, name, NULL, 'UnassignedId', true FROM ({A.FILES}) WHERE kind = 'unlinked'"""
 
@@ -186,9 +186,9 @@ def sim_lookup(s, d):
 
 
 @query(f"""SELECT text_ph, CASE WHEN count(n) = 0 THEN '' WHEN count(n) = 1 THEN max(audio_ph) FILTER (WHERE n IS NOT NULL) ELSE '(' || string_agg(audio_ph, '|' ORDER BY n) FILTER (WHERE n IS NOT NULL) || ')' END AS alternatives
-  FROM (SELECT text_ph, audio_ph, CASE WHEN score >= 0.1 THEN row_number() OVER (PARTITION BY text_ph ORDER BY score DESC, col_pos) END AS n FROM ({A.SIM_SQL})) GROUP BY text_ph""")
+  FROM (SELECT text_ph, audio_ph, CASE WHEN score >= 0.1 THEN row_number() OVER (PARTITION BY text_ph ORDER BY score DESC, col_pos) END AS n FROM ({A.MATRIX})) GROUP BY text_ph""")
 def alternatives_topk(s, d):
-    return lookup.alternatives(A.sim(s))
+    return lookup.alternatives(A.matrix(s, d))
 
 
 _PHONES = [("en", "EH N"), ("fr", "EH F"), ("de", "D EH"), ("src0", "S0"), ("src1", "S1"), ("src2", "S2"), ("src3", "")]
@@ -201,9 +201,12 @@ def phonetize_all_or_nothing(s, d):
     return lookup.phonetize(A.table(s, d, "documents").select(F.col("doc_id").alias("word"), F.array("lang", "source").alias("labels")), mapping)
 
 
-@query(f"SELECT text_ph, " + ", ".join(f"max(score) FILTER (WHERE audio_ph = '{a}') AS {a}" for a in ["click", "view", "purchase", "signup", "error"]) + f" FROM ({A.SIM_SQL}) GROUP BY text_ph")
+_KINDS = ["click", "view", "purchase", "signup", "error"]
+
+
+@query("SELECT text_ph, " + ", ".join(f"max(score) FILTER (WHERE kind = '{k}') AS {k}" for k in _KINDS) + f" FROM ({A.MATRIX}) GROUP BY text_ph")
 def sim_pivot(s, d):
-    return A.sim(s).groupBy("text_ph").pivot("audio_ph", ["click", "view", "purchase", "signup", "error"]).agg(F.first("score"))
+    return A.matrix(s, d).groupBy("text_ph").pivot("kind", _KINDS).agg(F.max("score"))
 
 
 # --- tracks ------------------------------------------------------------------------------------
