@@ -75,11 +75,12 @@ def next_waiting(s, d):
     return catalog.next_waiting(_tasks(s, d))
 
 
-@query(f"SELECT line_id, audiofile, CASE WHEN state IN ('Processing', 'UnassignedId', 'Error') THEN state ELSE 'Waiting' END AS state FROM ({_TASKS})")
+@query(f"""SELECT line_id, audiofile, CASE WHEN kept THEN state ELSE 'Waiting' END AS state, CASE WHEN kept THEN renaming_required ELSE true END AS renaming_required,
+  NOT kept AS full_rename FROM (SELECT *, state IN ('Processing', 'UnassignedId', 'Error') AS kept FROM ({_TASKS}))""")
 def queue_reset(s, d):
     from ..streaming.tasks import reset_all
 
-    return reset_all(_tasks(s, d)).select("line_id", "audiofile", "state")
+    return reset_all(_tasks(s, d)).select("line_id", "audiofile", "state", "renaming_required", "full_rename")
 
 
 _ESCAPE = "left(regexp_replace({}, '[/?%*:|<>\".$…, ]', '_', 'g'), 50)"
@@ -366,4 +367,4 @@ def graph_adjacency(s, d):
 #: Squeezed texts: a character goes if it equals the one before it, but line breaks stay.
 SQL["consecutive_dedup"] = "SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1] OR x = chr(10)), '') AS squeezed FROM (SELECT conv_id, turn, string_split(text, '') AS l FROM conversations)"
 
-from . import edit_queries  # noqa: E402, F401  registers further queries here
+from . import edit_queries, stream_queries  # noqa: E402, F401  register further queries here

@@ -1,13 +1,11 @@
-"""The task queue as a stream: file events in, task states out."""
+"""States of tasks, work on a folder, sessions by gaps; streaming.queue has the queue as a log of events."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Fixed values: (state, event) -> state; other events leave a state as it is.
 TRANSITIONS = {
@@ -28,25 +26,12 @@ def next_state(state: str, event: str) -> str:
 
 
 def reset_all(tasks: DataFrame) -> DataFrame:
-    """All tasks wait again, but for those in work, unassigned or failed."""
-    return tasks.withColumn("state", F.when(F.col("state").isin(*KEPT_BY_RESET), F.col("state")).otherwise("Waiting"))
-
-
-def task_states(events: DataFrame) -> DataFrame:
-    """Streaming (task_id, state, n) for events (task_id, event, at), folded per task in order of time."""
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, n = state.get if state.exists else ("Waiting", 0)
-        rows = pd.concat(list(parts)).sort_values("at", kind="stable")
-        for event in rows["event"]:
-            now, n = next_state(now, event), n + 1
-        state.update((now, n))
-        yield pd.DataFrame({"task_id": [key[0]], "state": [now], "n": [n]})
-
-    from ..session import ship
-
-    ship(events.sparkSession)
-    return events.groupBy("task_id").applyInPandasWithState(fold, "task_id long, state string, n long", "state string, n long", "update", GroupStateTimeout.NoTimeout)
+    """All tasks wait again and are to be renamed in full, but for those in work, unassigned or failed."""
+    kept = F.col("state").isin(*KEPT_BY_RESET)
+    again = {"state": F.when(kept, F.col("state")).otherwise("Waiting")}
+    for flag in ("renaming_required", "full_rename"):
+        again[flag] = F.when(kept, F.col(flag) if flag in tasks.columns else F.lit(False)).otherwise(True)
+    return tasks.withColumns(again)
 
 
 def process_waiting(spark: SparkSession, folder: str, schema: str, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> None:
