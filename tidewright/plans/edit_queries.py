@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import align, catalog, edits, updates
 from . import adapters as A
+from .align_sql import rows_sql
 from .queries import _TASKS, _tasks, query
 
 _NUMBERED = f"SELECT row_number() OVER (ORDER BY line_id, audiofile) AS id, * FROM ({_TASKS})"
@@ -237,7 +238,13 @@ def explicit_scores(s, d):
     return A.matrix(s, d).agg(F.count_if(F.col("score") != -1.0).alias("explicit_scores"), F.count("*").alias("cells"))
 
 
-@query()
+_LABELED = f"SELECT id, slot, ['click', 'view', 'purchase', 'signup', 'error'][slot % 5 + 1] AS phoneme, word_start, start, stop FROM ({A.SEGMENTS})"
+
+
+@query(rows_sql(
+    f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY slot) AS a, phoneme, start, stop FROM ({_LABELED})",
+    f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY slot) AS t, phoneme, word_start, 1.0 AS weight FROM ({_LABELED}) WHERE slot % 3 <> 0", A.SIM_SQL,
+))
 def aligned_rows(s, d):
     """The aligned rows of each track: its segments are heard in order, every third one is not written."""
     rows = A.segments(s, d).select("id", "slot", F.element_at(F.array(*map(F.lit, ("click", "view", "purchase", "signup", "error"))), (F.col("slot") % 5 + 1).cast("int")).alias("label"), "word_start", "start", "stop")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import align, catalog, gaps, graph, lookup, timeline, tracks
 from . import adapters as A
+from .align_sql import summary_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -307,7 +308,26 @@ def change_detection(s, d):
     return tracks.changed(old, new)
 
 
-@query()
+#: Tracks as lists; each step takes the next open segment off todo and collapses it between its neighbours.
+_CLOSED = f"""WITH RECURSIVE tracks AS (
+  SELECT id, list({{'slot': slot, 'phoneme': phoneme, 'ws': word_start, 'start': start, 'stop': stop, 'active': active}} ORDER BY slot) AS raw FROM ({A.SEGMENTS}) GROUP BY id
+), folds(id, closed, todo, segs) AS (
+  SELECT id, len(list_filter(raw, lambda x: NOT x.active AND x.phoneme = '_')), [i for i in range(1, len(raw) + 1) if NOT raw[i].active AND raw[i].phoneme = '_'],
+    list_transform(raw, lambda x: {{'slot': x.slot, 'phoneme': x.phoneme, 'ws': x.ws, 'start': x.start, 'stop': x.stop, 'active': x.active OR x.phoneme = '_'}}) FROM tracks
+  UNION ALL
+  SELECT id, closed, todo[2:], list_transform(segs, lambda x, i: {{'slot': x.slot, 'phoneme': x.phoneme, 'ws': x.ws, 'active': x.active AND i <> k,
+      'start': CASE WHEN i = k OR (i > k AND i <= after) OR (i >= before AND i < k AND NOT x.active) THEN place ELSE x.start END,
+      'stop': CASE WHEN i = k OR (i >= before AND i < k) OR (i > k AND i <= after AND NOT x.active) THEN place ELSE x.stop END}})
+  FROM (SELECT *, CASE WHEN coalesce(segs[before].active, false) = coalesce(segs[after].active, false) THEN segs[k].start + greatest(segs[k].stop - segs[k].start, 0) // 2
+      WHEN coalesce(segs[before].active, false) THEN segs[k].stop ELSE segs[k].start END AS place
+    FROM (SELECT *, CASE WHEN NOT segs[k].ws THEN list_max([i for i in range(1, k) if segs[i].active OR segs[i].ws]) END AS before,
+        coalesce(list_min([i for i in range(k + 1, word_end) if segs[i].active]), CASE WHEN word_end > k + 1 THEN word_end - 1 END) AS after
+      FROM (SELECT *, coalesce(list_min([i for i in range(k + 1, len(segs) + 1) if segs[i].ws]), len(segs) + 1) AS word_end FROM (SELECT *, todo[1] AS k FROM folds WHERE len(todo) > 0))))
+) SELECT id, closed, x.slot AS slot, x.phoneme AS phoneme, x.start AS start, x.stop AS stop, x.active AS active
+FROM (SELECT id, closed, unnest(segs) AS x FROM folds WHERE len(todo) = 0)"""
+
+
+@query(_CLOSED)
 def close_gaps(s, d):
     rows = A.segments(s, d)
     cell = F.struct("slot", "phoneme", "word_start", "start", "stop", "active")
@@ -315,7 +335,12 @@ def close_gaps(s, d):
     return gaps.close_gaps(arrays).select("id", "closed", F.explode("segments").alias("x")).select("id", "closed", "x.slot", "x.phoneme", "x.start", "x.stop", "x.active")
 
 
-@query()
+_HOURS = "SELECT user_id * 1000000 + (epoch_us(ts) // 1000 // 3600000) % 1000000 AS id, event_id, event_type, value, epoch_us(ts) // 1000 % 3600000 AS ms FROM events"
+_HEARD = f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY ms, event_id) AS a, event_type AS phoneme, ms AS start, CAST(ms + round(value * 10) AS BIGINT) AS stop FROM ({_HOURS}) WHERE event_id % 4 <> 0"
+_SAID = f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY event_id) AS t, event_type AS phoneme, event_type = 'purchase' AS word_start, 1.0 AS weight FROM ({_HOURS})"
+
+
+@query(summary_sql(f"SELECT DISTINCT id FROM ({_HOURS})", _HEARD, _SAID, A.SIM_SQL))
 def align_tracks(s, d):
     """Events of each user in hours: the even ones heard, all of them written."""
     ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000
