@@ -6,7 +6,7 @@ a matrix (audio_ph, text_ph, score).  Sums are single precision, as in the opera
 
 from __future__ import annotations
 
-_STEPS = """
+_COSTS = """
 shapes AS (SELECT id, n, m FROM (SELECT id, max(a) AS n FROM audio GROUP BY id) JOIN (SELECT id, max(t) AS m FROM words GROUP BY id) USING (id) WHERE n <= 499 AND m <= 499),
 heard AS (SELECT *, coalesce(lead(gap) OVER (PARTITION BY id ORDER BY a), false) AS follows, lower(phoneme) IN ('sil', '+nsn+', '+spn+') AS noise,
     CASE WHEN lower(phoneme) = 'sil' THEN 2.1::FLOAT + 0.01::FLOAT ELSE -1.0::FLOAT END AS own
@@ -18,6 +18,9 @@ cells AS (
   FROM (SELECT *, -1.0::FLOAT * 1.5::FLOAT + score * 0.5::FLOAT AS across, (gap AND NOT word_start) OR (follows AND word_start AND NOT closes) AS apart
     FROM (SELECT h.id, h.a, s.t, h.gap, h.follows, s.word_start, s.closes, CASE WHEN h.noise THEN -2.1::FLOAT ELSE coalesce(x.score::FLOAT, -1.0::FLOAT) END AS score
       FROM shapes JOIN heard h USING (id) JOIN said s USING (id) LEFT JOIN matrix x ON x.audio_ph = lower(h.phoneme) AND x.text_ph = lower(s.phoneme)))),
+"""
+
+_STEPS = """
 -- A cell's total, operation (1 match, 2 delete, 3 merge, 4 insert, 5 split) and its own score; age 1 is the diagonal before.
 best(id, n, m, a, t, total, op, own, age) AS (
   SELECT id, n, m, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0::FLOAT, 0, 0::FLOAT, 0 FROM shapes
@@ -56,7 +59,7 @@ rows_ AS (
 
 
 def _with(audio: str, text: str, matrix: str) -> str:
-    return f"WITH RECURSIVE audio AS ({audio}), words AS ({text}), matrix AS ({matrix}),{_STEPS}"
+    return f"WITH RECURSIVE audio AS ({audio}), words AS ({text}), matrix AS ({matrix}),{_COSTS}{_STEPS}"
 
 
 def rows_sql(audio: str, text: str, matrix: str) -> str:
@@ -71,3 +74,24 @@ SELECT i.id, coalesce(s.n, 0) AS n_ops, coalesce(r.n, 0) AS n_rows, k.least AS m
   CASE WHEN b.id IS NULL THEN CASE WHEN i.id NOT IN (SELECT id FROM audio) OR i.id NOT IN (SELECT id FROM words) THEN 'empty sequence' ELSE 'more than 499 segments' END END AS error
 FROM ids i LEFT JOIN shapes b USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM steps GROUP BY id) s USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM made GROUP BY id) r USING (id)
   LEFT JOIN (SELECT id, min(score) AS least, bool_or(op IN (2, 4)) AS gaps FROM kept GROUP BY id) k USING (id)"""
+
+
+def n_best_sql(audio: str, text: str, matrix: str, k: int) -> str:
+    """(id, rank, total, ops) of the k best alignments: the k best ways to each cell, after a match (f = 1) or another step."""
+    return f"""WITH RECURSIVE audio AS ({audio}), words AS ({text}), matrix AS ({matrix}),{_COSTS}
+units AS (SELECT id, a, t, CAST(round(match::DOUBLE * 1e6) AS BIGINT) AS match, CAST(round(merge::DOUBLE * 1e6) AS BIGINT) AS merge, CAST(round(split::DOUBLE * 1e6) AS BIGINT) AS split FROM cells),
+way(id, n, m, a, t, f, total, back, age) AS (
+  SELECT id, n, m, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', 0 FROM shapes
+  UNION ALL
+  (SELECT id, n, m, a, t, f, total, back, 0 FROM (
+    SELECT w.id, w.n, w.m, w.a + 1 AS a, w.t + 1 AS t, 1 AS f, w.total + c.match AS total, '1' || w.back AS back FROM way w JOIN units c ON c.id = w.id AND c.a = w.a + 1 AND c.t = w.t + 1 WHERE w.age = 1
+    UNION ALL SELECT w.id, w.n, w.m, w.a + 1, w.t, 0, w.total + CAST(round(h.own::DOUBLE * 1e6) AS BIGINT), '2' || w.back FROM way w JOIN heard h ON h.id = w.id AND h.a = w.a + 1 WHERE w.age = 0
+    UNION ALL SELECT w.id, w.n, w.m, w.a + 1, w.t, 0, w.total + c.merge, '3' || w.back FROM way w JOIN units c ON c.id = w.id AND c.a = w.a + 1 AND c.t = w.t WHERE w.age = 0 AND w.f = 1
+    UNION ALL SELECT w.id, w.n, w.m, w.a, w.t + 1, 0, w.total - 1000000, '4' || w.back FROM way w WHERE w.age = 0 AND w.t < w.m
+    UNION ALL SELECT w.id, w.n, w.m, w.a, w.t + 1, 0, w.total + c.split, '5' || w.back FROM way w JOIN units c ON c.id = w.id AND c.a = w.a AND c.t = w.t + 1 WHERE w.age = 0 AND w.f = 1)
+  QUALIFY row_number() OVER (PARTITION BY id, a, t, f ORDER BY total DESC, back) <= {k}
+  UNION ALL SELECT id, n, m, a, t, f, total, back, 1 FROM way WHERE age = 0)
+)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY total DESC, back) AS INTEGER) AS rank, total / 1e6 AS total,
+  array_to_string([['match', 'delete', 'merge_left', 'insert', 'split_left'][CAST(x AS INTEGER)] for x in string_split(reverse(back), '')], ' ') AS ops
+FROM way WHERE age = 0 AND a = n AND t = m QUALIFY rank <= {k}"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, catalog, edits, updates
+from ..operators import align, catalog, edits, nbest, updates
 from . import adapters as A
-from .align_sql import rows_sql
+from .align_sql import n_best_sql, rows_sql
 from .queries import _TASKS, _tasks, query
 
 _NUMBERED = f"SELECT row_number() OVER (ORDER BY line_id, audiofile) AS id, * FROM ({_TASKS})"
@@ -241,14 +241,31 @@ def explicit_scores(s, d):
 _LABELED = f"SELECT id, slot, ['click', 'view', 'purchase', 'signup', 'error'][slot % 5 + 1] AS phoneme, word_start, start, stop FROM ({A.SEGMENTS})"
 
 
-@query(rows_sql(
+_TRACKS = (
     f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY slot) AS a, phoneme, start, stop FROM ({_LABELED})",
-    f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY slot) AS t, phoneme, word_start, 1.0 AS weight FROM ({_LABELED}) WHERE slot % 3 <> 0", A.SIM_SQL,
-))
+    f"SELECT id, row_number() OVER (PARTITION BY id ORDER BY slot) AS t, phoneme, word_start, 1.0 AS weight FROM ({_LABELED}) WHERE slot % 3 <> 0",
+    A.SIM_SQL,
+)
+
+
+def _pairs(s, d):
+    """Each track with its segments heard in order, every third one not written."""
+    label = F.element_at(F.array(*map(F.lit, ("click", "view", "purchase", "signup", "error"))), (F.col("slot") % 5 + 1).cast("int"))
+    rows = A.segments(s, d).select("id", "slot", label.alias("label"), "word_start", "start", "stop")
+    heard = F.array_sort(F.collect_list(F.struct("slot", "label", "start", "stop")))
+    said = F.array_sort(F.collect_list(F.when(F.col("slot") % 3 != 0, F.struct("slot", "label", "word_start"))))
+    audio = F.transform(heard, lambda x: F.struct(x["label"].alias("phoneme"), x["start"].alias("start"), x["stop"].alias("stop")))
+    text = F.transform(said, lambda x: F.struct(x["label"].alias("phoneme"), x["word_start"].alias("word_start"), F.lit(1.0).alias("weight")))
+    return rows.groupBy("id").agg(audio.alias("audio"), text.alias("text"))
+
+
+@query(rows_sql(*_TRACKS))
 def aligned_rows(s, d):
-    """The aligned rows of each track: its segments are heard in order, every third one is not written."""
-    rows = A.segments(s, d).select("id", "slot", F.element_at(F.array(*map(F.lit, ("click", "view", "purchase", "signup", "error"))), (F.col("slot") % 5 + 1).cast("int")).alias("label"), "word_start", "start", "stop")
-    heard = F.transform(F.array_sort(F.collect_list(F.struct("slot", "label", "start", "stop"))), lambda x: F.struct(x["label"].alias("phoneme"), x["start"].alias("start"), x["stop"].alias("stop")))
-    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("slot") % 3 != 0, F.struct("slot", "label", "word_start")))), lambda x: F.struct(x["label"].alias("phoneme"), x["word_start"].alias("word_start"), F.lit(1.0).alias("weight")))
-    found = align.align_tracks(rows.groupBy("id").agg(heard.alias("audio"), said.alias("text")), A.SIM)
+    found = align.align_tracks(_pairs(s, d), A.SIM)
     return found.select("id", F.posexplode("rows").alias("pos", "r")).select("id", "pos", "r.phoneme", "r.word_start", "r.start", "r.stop", "r.score", "r.active", "r.op", "r.source")
+
+
+@query(n_best_sql(*_TRACKS, 3))
+def n_best_alignments(s, d):
+    found = nbest.n_best_tracks(_pairs(s, d), A.SIM, 3)
+    return found.select("id", "rank", "total", F.array_join("ops", " ").alias("ops"))
