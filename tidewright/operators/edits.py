@@ -54,7 +54,11 @@ def drag_points(segments: DataFrame, reference: Column, damping: float = 1.0) ->
 def dragged(points: DataFrame, delta: Column, low: Column, high: Column, step: int = STEP) -> DataFrame:
     """(id, slot, start, stop) after a drag by delta milliseconds: borders move by their weights, are snapped and held in
     the range, and no segment begins before the one before it ends (a running maximum)."""
-    moved = lambda at, weight: snap_ms(F.expr("1") * F.when(at + delta * weight < 0, F.ceil(at + delta * weight)).otherwise(F.floor(at + delta * weight)), step, low, high)
+
+    def moved(at: Column, weight: Column) -> Column:
+        to = at + delta * weight
+        return snap_ms(F.when(to < 0, F.ceil(to)).otherwise(F.floor(to)), step, low, high)
+
     rows = points.select("id", "slot", moved(F.col("start"), F.col("weight_start")).alias("a"), moved(F.col("stop"), F.col("weight_stop")).alias("b"))
     before = Window.partitionBy("id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
