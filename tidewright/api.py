@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, catalog, tracks, updates
+from .operators import align, catalog, resample, timeline, tracks, updates
 from .sources import readers, sinks
 
 log = logging.getLogger("tidewright")
@@ -33,8 +33,15 @@ def register_decoder(ending: str, decoder: Decoder) -> None:
     _DECODERS[ending.lower().lstrip(".")] = decoder
 
 
+#: Fixed value: the error for a format that cannot be used.
+WRONG_FORMAT = "expected format >= %d Hz, 16 bit, 1 or 2 channel. found %d Hz, %d bit, %d channel(s)"
+
+
 def load_audio(spark: SparkSession, path: str, rate: int | None = None) -> DataFrame:
-    """Clips of a file or folder by the decoder of its ending, resampled if a rate is given; other endings are an error."""
+    """Clips (path, rate, channels, bits, pcm) of a file or folder by the decoder of its ending; other endings are an error.
+
+    With a rate, clips pass the format gate: one or two channels of 16 bits at that rate are used as they are, others with
+    at most two channels are resampled to it, but never from a lower rate; the rest is an error when rows are read."""
     ending = path.rsplit(".", 1)[-1].lower()
     if ending in _DECODERS:
         decode = _DECODERS[ending]
@@ -42,15 +49,19 @@ def load_audio(spark: SparkSession, path: str, rate: int | None = None) -> DataF
         def run(parts):
             for part in parts:
                 found = [decode(x) for x in part["content"]]
-                yield part[["path"]].assign(rate=[f[0] for f in found], pcm=[f[2][f[1] - 1 :: f[1]] for f in found])
+                yield part[["path"]].assign(rate=[f[0] for f in found], channels=[f[1] for f in found], bits=16, pcm=[f[2][f[1] - 1 :: f[1]] for f in found])
 
         raw = spark.read.format("binaryFile").load(path).select("path", "content")
-        clips = raw.mapInPandas(run, "path string, rate int, pcm array<smallint>")
+        clips = raw.mapInPandas(run, "path string, rate int, channels int, bits int, pcm array<smallint>")
     elif ending == "wav" or "." not in path.rsplit("/", 1)[-1]:
         clips = readers.wav_clips(spark, path)
     else:
         raise ValueError(f"no decoder for .{ending} files; see register_decoder")
-    return clips if rate is None else readers.resampled(clips, rate)
+    if rate is None:
+        return clips
+    gate = timeline.audio_gate(F.col("channels"), F.col("rate"), F.col("bits"), rate)
+    wrong = F.raise_error(F.format_string(WRONG_FORMAT, F.lit(rate), "rate", "bits", "channels"))
+    return resample.resampled(clips.withColumn("pcm", F.when(gate == "error", wrong).otherwise(F.col("pcm"))), rate)
 
 
 def one_of(**options: object) -> str:

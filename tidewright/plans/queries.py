@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align, catalog, gaps, graph, lookup, timeline, tracks
+from ..operators import align, catalog, gaps, graph, lookup, resample, timeline, tracks
 from . import adapters as A
 from .align_sql import summary_sql
 
@@ -373,6 +373,22 @@ def waveform_decimate(s, d):
     return A.pcm(s, d).select("id", F.posexplode(timeline.decimated(F.col("pcm"), 10, 32, 16)).alias("k", "v")).select("id", (F.col("k") * 4 + 8).cast("int").alias("i"), F.col("v").cast("int").alias("v"))
 
 
+#: Samples of 44,100 Hz at 16,000 Hz: 160 phases; weights under a Hann window, 47 samples to each side.
+_RESAMPLED = f"""WITH clips AS ({A.PCM}), places AS (SELECT id, pcm, unnest(range(len(pcm) * 160 // 441)) AS n FROM clips),
+near AS (SELECT *, [i - 46 for i in range(94)] AS js, n * 441 // 160 AS place, (n * 441 % 160) / 160.0::DOUBLE AS part, 0.95::DOUBLE * 16000 / 44100 AS band FROM places),
+weighted AS (SELECT *, [(CASE WHEN part = j THEN 1.0 ELSE sin(pi() * band * (part - j)) / (pi() * band * (part - j)) END) * (0.5 + 0.5 * cos(pi() * least(1.0, greatest(-1.0, (part - j) / 47.0::DOUBLE)))) for j in js] AS h FROM near)
+SELECT id, n, CAST(least(32767, greatest(-32768, floor(list_inner_product(h, [coalesce(CASE WHEN place + j >= 0 THEN pcm[place + j + 1] END, 0)::DOUBLE for j in js]) / list_sum(h) + 0.5))) AS INTEGER) AS v FROM weighted"""
+
+
+@query(_RESAMPLED)
+def resampled_clips(s, d):
+    """Clips in chunks of 50 samples, resampled chunk by chunk."""
+    chunks = resample.chunked(A.pcm(s, d).withColumn("rate", F.lit(44100)), 50)
+    found = resample.resampled_chunks(chunks, 16000, size=50, most_rate=44100)
+    each = found.select("id", "first", F.posexplode("pcm").alias("i", "v"))
+    return each.select("id", (F.col("first") + F.col("i")).alias("n"), F.col("v").cast("int").alias("v"))
+
+
 def _edges(s, d):
     key = F.col("p_partkey")
     return A.table(s, d, "part").where("p_partkey > 0").select(F.floor(key / F.when(key % 2 == 0, 2).otherwise(3)).cast("bigint").alias("src"), key.alias("dst"))

@@ -243,21 +243,6 @@ def wav_clips(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInPandas(run, "path string, rate int, channels int, bits int, pcm array<smallint>")
 
 
-def resampled(clips: DataFrame, rate: int) -> DataFrame:
-    """Clips at another rate, by linear interpolation (kernels differ; lengths agree)."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            new = []
-            for old, pcm in zip(part["rate"], part["pcm"], strict=True):
-                x = np.asarray(pcm, np.float64)
-                at = np.arange(int(len(x) * rate / old)) * old / rate
-                new.append(np.round(np.interp(at, np.arange(len(x)), x)).astype(np.int16).tolist() if len(x) else [])
-            yield part.assign(rate=rate, pcm=new)
-
-    return clips.mapInPandas(run, clips.schema)
-
-
 def help_topics(spark: SparkSession, path: str) -> DataFrame:
     """(topic, title, body) of sections that begin with ##; empty bodies are left out."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "(?m)^##")).alias("k", "s")).where("k > 0")
