@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, catalog, resample, timeline, tracks, updates
-from .sources import readers, sinks
+from .operators import align, catalog, gaps, resample, timeline, tracks, updates
+from .session import saved
+from .sources import formats, readers, sinks
 
 log = logging.getLogger("tidewright")
 
@@ -94,14 +95,101 @@ def generate(lines: DataFrame, translate: Translator) -> tuple[DataFrame, DataFr
     return tracks.generated_timings(raw), done.select("id", "actor", error.alias("error"))
 
 
-def extract(lines: DataFrame, clips: DataFrame, translate: Translator, recognize: Recognizer, scores: list[tuple[str, str, float]], gap: float = -1.0) -> DataFrame:
-    """Aligned tracks (id, rows, ops, min_score, has_gaps, error) of lines and their clips (id, ...)."""
-    heard = tracks.clean_recognised(recognize(clips)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "phoneme"))).alias("a"))
+def _pairs(lines: DataFrame, heard: DataFrame, translate: Translator) -> DataFrame:
+    """(id, translated, hypothesis, audio, text) of lines (id, text) and cleaned recognizer rows; hints are not spoken."""
+    cells = heard.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "phoneme"))).alias("a"))
     audio = F.transform("a", lambda x: F.struct(x["phoneme"].alias("phoneme"), x["start"].alias("start"), x["stop"].alias("stop")))
-    said = translate(lines.select("id", "text")).select("id", T.phoneme_tokens(F.col("translated")).alias("w"))
+    made = translate(lines.select("id", T.strip_hints(F.col("text")).alias("text"))).select("id", "translated", T.phoneme_tokens(F.col("translated")).alias("w"))
     text = F.transform("w", lambda x: F.struct(T.strip_stress(x["phoneme"]).alias("phoneme"), x["word_start"].alias("word_start"), T.phoneme_weight(x["phoneme"]).alias("weight")))
-    both = said.join(heard, "id", "left").select("id", audio.alias("audio"), text.alias("text"))
-    return align.align_tracks(both, scores, gap)
+    hypothesis = F.array_join(F.transform("a", lambda x: x["phoneme"]), " ")
+    return made.join(cells, "id", "left").select("id", "translated", hypothesis.alias("hypothesis"), audio.alias("audio"), text.alias("text"))
+
+
+def extract(lines: DataFrame, clips: DataFrame, translate: Translator, recognize: Recognizer, scores: list[tuple[str, str, float]], gap: float = -1.0) -> DataFrame:
+    """Aligned tracks (id, rows, ops, min_score, has_gaps, error) of lines (id, text) and their clips (id, ...)."""
+    return align.align_tracks(_pairs(lines, tracks.clean_recognised(recognize(clips)), translate), scores, gap)
+
+
+#: The errors of a task, and the rate that recognizers hear.
+NO_TRANSLATION, NOT_HEARD = "text to phoneme translator returned empty string.", "audio phoneme extractor returned empty result."
+NO_AUDIO, NO_TEXT = "audio not found: %s", "no text for line %d"
+HEARING_RATE = 16000
+
+
+def process(
+    tasks: DataFrame,
+    lines: DataFrame,
+    clips: DataFrame,
+    translate: Translator,
+    recognize: Recognizer,
+    scores: list[tuple[str, str, float]],
+    folder: str,
+    language: str | None = None,
+    gap: float = -1.0,
+) -> DataFrame:
+    """Works off tasks (task_id, line_id, audiofile, renaming_required, full_rename): results (task_id, line_id, operation,
+    result, quality, closed, error).
+
+    A task that must be renamed gets its file's new name as result; the renaming itself is the caller's.  Any other is
+    extracted: its line's text without hints is translated, its clip (audiofile, rate, channels, bits, pcm) passes the
+    format gate, is scaled to its peak and resampled for the recognizer, both are aligned, gaps in words are closed, the
+    quality is assessed, and the track is written to ``folder`` as the file that is the result.  A task that fails at
+    any step has that step's error and no file; the others go on.
+    """
+    spark = tasks.sparkSession
+    formats.register(spark)
+    known = clips.select("audiofile", "rate", "channels", "bits", F.size("pcm").alias("samples"))
+    asked = tasks.select("task_id", "line_id", "audiofile", "renaming_required", "full_rename")
+    asked = asked.join(lines.select(F.col("id").alias("line_id"), "text", "actor"), "line_id", "left").join(known, "audiofile", "left")
+    gate = timeline.audio_gate(F.col("channels"), F.col("rate"), F.col("bits"), HEARING_RATE)
+    unfit = F.when(gate == "error", F.format_string(WRONG_FORMAT, F.lit(HEARING_RATE), "rate", "bits", "channels"))
+    early = F.when(F.col("text").isNull(), F.format_string(NO_TEXT, "line_id")).when(F.col("rate").isNull(), F.format_string(NO_AUDIO, "audiofile"))
+    named = F.element_at(F.split("audiofile", "/"), -1)
+    new_name = T.rename_target(F.col("line_id"), F.col("samples") / F.col("rate"), F.col("actor"), F.col("text"), named, F.col("full_rename"))
+    asked = asked.withColumns({"early": F.when(F.col("renaming_required"), early).otherwise(F.coalesce(early, unfit)), "new_name": new_name})
+    asked = saved(asked.drop("samples", "channels", "bits", "rate"), "tasks")
+
+    due = asked.where("not renaming_required and early is null")
+    loud = clips.withColumn("pcm", timeline.normalised(F.col("pcm")).cast("array<smallint>")).select("audiofile", "rate", "pcm")
+    heard = tracks.clean_recognised(recognize(resample.resampled(due.select(F.col("task_id").alias("id"), "audiofile").join(loud, "audiofile"), HEARING_RATE)))
+    pairs = saved(_pairs(due.select(F.col("task_id").alias("id"), "text"), heard, translate), "pairs")
+    found = align.align_tracks(pairs, scores, gap)
+    cell = F.transform("rows", lambda x, i: F.struct((i + 1).alias("slot"), *(x[c].alias(c) for c in ("phoneme", "word_start", "start", "stop")),
+        x["weight"].cast("double").alias("weight"), x["score"].cast("double").alias("score"), x["active"].alias("active"), x["source"].alias("info")))
+    closed = saved(gaps.close_gaps(found.where("error is null").select("id", cell.alias("segments"))), "closed")
+    each = closed.select("id", F.explode("segments").alias("x")).select("id", "x.*", F.lit(1).alias("version"))
+    quality = tracks.track_quality(each).select("id", "quality")
+    late = F.when(F.coalesce("translated", F.lit("")) == "", NO_TRANSLATION).when(F.coalesce("hypothesis", F.lit("")) == "", NOT_HEARD)
+    judged = pairs.select("id", "translated", "hypothesis", late.alias("late")).join(found.select("id", F.col("error").alias("apart")), "id", "left")
+    judged = judged.join(closed, "id", "left").join(quality, "id", "left").withColumnRenamed("id", "task_id")
+    done = asked.join(judged, "task_id", "left")
+    error = F.when(F.col("renaming_required"), F.col("early")).otherwise(F.coalesce("early", "late", "apart"))
+    done = saved(done.withColumn("error", error), "done")
+
+    meta = {"id": F.col("line_id"), "version": F.lit(1), "language": F.lit(language), "translation": F.col("translated"), "audio_hypothesis": F.col("hypothesis")}
+    good = done.where("not renaming_required and error is null")
+    sinks.track_files(good.withColumns(meta)).write.format("tracks").mode("append").save(folder)
+    file = F.concat(F.lit(folder.rstrip("/") + "/"), F.lpad(F.col("line_id").cast("string"), 10, "0"), F.lit(".phonemes"))
+    return done.select(
+        "task_id",
+        "line_id",
+        F.when(F.col("renaming_required"), "rename").otherwise("extract").alias("operation"),
+        F.when(F.col("error").isNull(), F.when(F.col("renaming_required"), F.col("new_name")).otherwise(file)).alias("result"),
+        "quality",
+        "closed",
+        "error",
+    )
+
+
+def result_events(results: DataFrame, states: DataFrame) -> DataFrame:
+    """The events of processed tasks for the queue's log (task_id, seq, event, detail), after the states' last ones."""
+    rows = results.join(states.select("task_id", "applied"), "task_id")
+    event = F.when(F.col("error").isNotNull(), "fail").when(F.col("operation") == "rename", "renamed").otherwise("finished")
+    steps = F.array(
+        F.struct((F.col("applied") + 1).alias("seq"), F.lit("start").alias("event"), F.lit(None).cast("string").alias("detail")),
+        F.struct((F.col("applied") + 2).alias("seq"), event.alias("event"), F.coalesce("error", "result").alias("detail")),
+    )
+    return rows.select("task_id", F.explode(steps).alias("x")).select("task_id", "x.*")
 
 
 def language_settings(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +201,7 @@ def search_strings_file(spark: SparkSession, *folders: str) -> str | None:
     return readers.strings_file(spark, *folders)
 
 
-def search_actor_mappings_file(folder: str, name: str = "actor_mappings.cfg") -> str:
+def search_actor_mappings_file(folder: str, name: str = "actor_mapping.cfg") -> str:
     """The actor mapping file of a folder on the driver; an empty one is made where there is none."""
     path = Path(folder) / name
     if not path.exists():

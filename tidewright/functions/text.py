@@ -26,7 +26,7 @@ def escape_textline(text: Column) -> Column:
 
 def capitalize(text: Column) -> Column:
     """Upper case for the first character of each word, the rest as it is."""
-    return F.array_join(F.transform(F.split(F.trim(text), " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1_000_000))), " ")
+    return F.array_join(F.transform(F.split(F.trim(text), " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), " ")
 
 
 def voiceover_actor(name: Column) -> Column:
@@ -85,11 +85,16 @@ def file_kind(name: Column, id_: Column | None = None) -> Column:
     return F.when(audio & has, "audio").when(audio, "unlinked").when(F.endswith(name, F.lit(".phonemes")) & has, "phonemes")
 
 
-def rename_target(line_id: Column, duration: Column, actor: Column, text: Column) -> Column:
-    """The full new name of an audio file."""
-    who = F.coalesce(F.concat(F.lit("-"), escape_textline(actor), F.lit("-")), F.lit("-"))
+def rename_target(line_id: Column, duration: Column, actor: Column, text: Column, name: Column, full: Column | None = None) -> Column:
+    """The new name of an audio file: the id in ten digits, the duration, the actor between dashes, and the line's text with
+    the old ending; where the renaming is not full, the old name without its leading digits in place of the text."""
+    who = F.coalesce(escape_textline(F.concat(F.lit("-"), actor, F.lit("-"))), F.lit(""))
     seconds = F.when(duration.isNotNull(), F.format_string("[%.4f]", duration.cast("double"))).otherwise("")
-    return F.concat(F.lpad(line_id.cast("string"), 10, "0"), seconds, who, escape_textline(text))
+    ending = F.regexp_extract(name, r"[^.]\.([^.]*)$", 1)
+    rest = F.concat(escape_textline(text), F.lit("."), ending)
+    if full is not None:
+        rest = F.when(full, rest).otherwise(drop_leading_digits(name))
+    return F.concat(F.lpad(line_id.cast("string"), 10, "0"), seconds, who, rest)
 
 
 def drop_leading_digits(name: Column) -> Column:

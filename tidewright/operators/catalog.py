@@ -101,7 +101,7 @@ def is_capped(lines: DataFrame, query: str, most: int) -> DataFrame:
 def rename_plan(tasks: DataFrame, lines: DataFrame) -> DataFrame:
     """(audiofile, new_name): names by line id, duration, actor and text; the renaming itself is not part of a query."""
     rows = tasks.where("line_id > 0").join(lines.select(F.col("id").alias("line_id"), "text", "actor"), "line_id")
-    return rows.select("audiofile", T.rename_target(F.col("line_id"), T.file_duration(F.col("audiofile")), F.col("actor"), F.col("text")).alias("new_name"))
+    return rows.select("audiofile", T.rename_target(F.col("line_id"), T.file_duration(F.col("audiofile")), F.col("actor"), F.col("text"), F.col("audiofile")).alias("new_name"))
 
 
 def same_set(a: DataFrame, b: DataFrame) -> bool:

@@ -19,8 +19,14 @@ def peak(pcm: Column) -> Column:
 
 def normalised(pcm: Column, share: float = 0.95) -> Column:
     """Samples scaled so that the peak is a share of the full range; silence stays."""
-    top = peak(pcm)
-    return F.transform(pcm, lambda v: F.when(top == 0, v.cast("int")).otherwise(F.round(v * (FULL * share) / top).cast("int")))
+    # An array of one cell, so that the peak is found once and not for every sample.
+    clip = F.array(F.struct(pcm.alias("pcm"), peak(pcm).alias("top")))
+
+    def scaled(cell: Column) -> Column:
+        top = cell["top"]
+        return F.transform(cell["pcm"], lambda v: F.when(top == 0, v.cast("int")).otherwise(F.round(v * (FULL * share) / top).cast("int")))
+
+    return F.transform(clip, scaled)[0]
 
 
 def duration_ms(pcm: Column, rate: int = RATE) -> Column:

@@ -87,7 +87,7 @@ def queue_reset(s, d):
 _ESCAPE = "left(regexp_replace({}, '[/?%*:|<>\".$…, ]', '_', 'g'), 50)"
 
 
-@query(f"""SELECT t.audiofile, lpad(CAST(t.line_id AS VARCHAR), 10, '0') || coalesce('[' || printf('%.4f', f.secs) || ']', '') || coalesce('-' || {_ESCAPE.format('l.actor')} || '-', '-') || {_ESCAPE.format('l.text')} AS new_name
+@query(f"""SELECT t.audiofile, lpad(CAST(t.line_id AS VARCHAR), 10, '0') || coalesce('[' || printf('%.4f', f.secs) || ']', '') || coalesce({_ESCAPE.format("'-' || l.actor || '-'")}, '') || {_ESCAPE.format('l.text')} || '.' || regexp_extract(t.audiofile, '[^.]*$') AS new_name
   FROM ({_TASKS}) t JOIN ({A.LINES}) l ON l.id = t.line_id JOIN ({A.FILES}) f ON f.name = t.audiofile WHERE t.line_id > 0""")
 def rename_projection(s, d):
     return catalog.rename_plan(_tasks(s, d), A.lines(s, d))

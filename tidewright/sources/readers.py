@@ -69,7 +69,7 @@ def similarity_matrix(spark: SparkSession, path: str) -> DataFrame:
     body = rows.join(F.broadcast(header), F.lit(True))  # one row
     body = body.where(~F.startswith(F.col("line"), F.lit("[T\\A]")))
     wrong = F.when(F.get("header", 0) != "[T\\A]", "missing header").when(F.size("cells") != F.size("header"), "row width differs from header")
-    each = body.select("line_no", F.lower(F.get("cells", 0)).alias("text_ph"), wrong.alias("error"), "header", F.posexplode(F.slice("cells", 2, 1_000_000)).alias("k", "cell"))
+    each = body.select("line_no", F.lower(F.get("cells", 0)).alias("text_ph"), wrong.alias("error"), "header", F.posexplode(F.slice("cells", F.lit(2), F.size("cells"))).alias("k", "cell"))
     score = F.when(F.col("cell") == "", EMPTY_SCORE).otherwise(F.col("cell").try_cast("float"))
     checked = F.coalesce("error", F.when(score.isNull(), "not a number").when(~score.between(F.lit(SCORE_LOW).cast("float"), F.lit(SCORE_HIGH).cast("float")), "score out of range"))
     rows = each.select("line_no", "text_ph", F.get("header", F.col("k") + 1).alias("audio_ph"), F.col("k").alias("col_pos"), score.alias("score"), checked.alias("error"))
