@@ -99,6 +99,31 @@ def close_gaps(tracks: DataFrame) -> DataFrame:
     return tracks.select(F.col("id").cast("long").alias("id"), "segments").mapInArrow(run, f"id long, closed long, segments {kind}")
 
 
+def activated(tracks: DataFrame) -> DataFrame:
+    """(id, before, after, segments) for rows (id, segments, slot, longest): the segment in that slot (from 1) is active, and
+    its neighbours up to the slots before and after give it room; a track without such a slot stays as it is."""
+    kind = tracks.select("segments").schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r or [] for r in batch.column(1).to_pylist()]
+            sides = []
+            for r, slot, longest in zip(rows, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if slot is None or not 1 <= slot <= len(r):
+                    sides.append((None, None))
+                    continue
+                sides.append(tuple(None if x is None else x + 1 for x in neighbours(r, slot - 1)))
+                activate(r, slot - 1, longest)
+            cells = [pa.array([x[j] for x in sides], pa.int64()) for j in (0, 1)]
+            yield pa.record_batch([batch.column(0), *cells, pa.array(rows, batch.column(1).type)], names=["id", "before", "after", "segments"])
+
+    from ..session import ship
+
+    ship(tracks.sparkSession)
+    kept = tracks.select(F.col("id").cast("long").alias("id"), "segments", F.col("slot").cast("long").alias("slot"), F.col("longest").cast("long").alias("longest"))
+    return kept.mapInArrow(run, f"id long, before long, after long, segments {kind}")
+
+
 def no_overlap(segments: Column) -> Column:
     """Each start at or after the end before it (an ordered array of structs with start and stop)."""
     return F.aggregate(

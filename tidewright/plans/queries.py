@@ -408,4 +408,4 @@ def graph_adjacency(s, d):
 #: Squeezed texts: a character goes if it equals the one before it, but line breaks stay.
 SQL["consecutive_dedup"] = "SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1] OR x = chr(10)), '') AS squeezed FROM (SELECT conv_id, turn, string_split(text, '') AS l FROM conversations)"
 
-from . import drag_queries, edit_queries, file_queries, model_queries, stream_queries  # noqa: E402, F401  register further queries here
+from . import drag_queries, edit_queries, file_queries, model_queries, stream_queries, text_queries  # noqa: E402, F401  register further queries here
