@@ -1,13 +1,20 @@
 """Main text of web pages by tree scoring.
 
 A tolerant parser builds the element tree.  Paragraphs pass points (one each, one
-per comma, one per hundred characters up to three) to their ancestors, the nearer
-the more; an ancestor's points are discounted by its link density.  The best
-container, raised to the article or main element around it, and those siblings
-that score or read like it are kept; boilerplate inside them is left out.
+per comma, one per hundred characters up to three) to their container, and half of
+what an element gets goes on to its parent, up to the root; an ancestor's points are
+discounted by its link density.  The best container, raised to the article or main
+element around it, and those siblings that score or read like it are kept;
+boilerplate inside them is left out.
+
+A form that holds most of the page's paragraphs is the page, not a form.  Inside an
+article or main element, a part whose name has a weak word for boilerplate among
+others (side-by-side, related-work) is kept if its paragraphs are text and not links.
 
 Null and empty pages, and pages without text, give an empty text.  Broken and cut
-off markup is read as far as it goes.  Other columns are not read.
+off markup is read as far as it goes.  Rows are worked on one by one, so repeated
+ids or pages give equal rows; a page of any length is read whole, in time linear in
+it.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +32,15 @@ from .common import map_arrow
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noframes", "xmp", "noembed"}
-_END = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE | re.ASCII) for name in RAW}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
 #: An opening tag that ends an open element of these kinds, up to the nearest of the last kinds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 DROPPED = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title", "iframe", "object", "embed", "svg", "canvas", "button", "select", "textarea", "dialog", "menu", "input", "math", "audio", "video", "map", "noframes", "search", "noembed"}
 #: Parts of class and id names that mark boilerplate.
 BAD_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "adslot", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside", "widget", "widgets", "footer", "foot", "masthead", "topbar", "toolbar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "share", "sharing", "social", "subscribe", "subscription", "newsletter", "signup", "login", "related", "recommended", "recommendations", "pagination", "pager", "skip", "hidden", "search", "searchform", "copyright", "legal", "disclaimer", "paywall"}
+#: Of these, the words that also name parts of articles when they stand beside other words.
+WEAK_WORDS = {"side", "related", "legal", "search", "skip", "alert", "foot", "overlay", "hidden", "reply", "replies", "promotion", "banner"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
 GOOD_WORDS = {"article", "post", "entry", "content", "story", "body", "main", "text"}
 
@@ -43,12 +52,14 @@ _CONTENT_CLASSES = re.compile(r"article|entry|post|story", re.I)
 
 
 class Node:
-    __slots__ = ("attributes", "children", "parent", "points", "size", "tag", "link_size", "bad")
+    __slots__ = ("attributes", "children", "parent", "points", "size", "tag", "link_size", "bad", "prose", "prose_links", "is_page")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list[Node | str] = []
         self.points, self.size, self.link_size, self.bad = 0.0, 0, 0, False
+        # Characters of paragraphs below, those of them in links; whether a form is the page itself.
+        self.prose, self.prose_links, self.is_page = 0, 0, False
 
 
 def parse(page: str) -> Node:
@@ -103,17 +114,12 @@ def _words(value: str) -> set[str]:
     return {w.lower() for w in _NAME.findall(value)}
 
 
-def is_boilerplate(node: Node) -> bool:
-    if node.tag in DROPPED:
+def is_boilerplate(node: Node, inside: bool) -> bool:
+    """Whether an element is no part of the main text; inside: of an article or main element."""
+    if node.tag in DROPPED and not node.is_page:
+        return True
+    if node.tag == "header" and not inside:
         return True
-    inside = False
-    if node.tag == "header":
-        up = node.parent
-        while up is not None:
-            inside |= up.tag in ("article", "main")
-            up = up.parent
-        if not inside:
-            return True
     if not node.attributes or node.tag in ("html", "body", "article", "main", "#root"):
         return False
     values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(node.attributes)}
@@ -124,21 +130,46 @@ def is_boilerplate(node: Node) -> bool:
     named = f"{values.get('class', '')} {values.get('id', '')}"
     words = _words(named)
     if words & BAD_WORDS:
+        if inside and words - BAD_WORDS and words & BAD_WORDS <= WEAK_WORDS and node.prose >= 25 and node.prose_links < 0.25 * node.prose:
+            return False
         # Names like "post-with-comments" on the content itself are no sign against it.
         return not (words & {"content", "article", "entry", "post", "story"} and not words & {"comment", "comments", "ad", "ads", "related", "share", "nav", "footer", "sidebar", "reply", "notice"})
     return "header" in words and not inside and not _CONTENT_CLASSES.search(named)
 
 
+def _weigh_paragraphs(root: Node) -> None:
+    """How many characters of paragraphs lie below each element, and which forms hold most of the page's."""
+    order, stack = [], [(root, False, False)]
+    own: list[tuple[int, int]] = []
+    while stack:
+        node, paragraph, link = stack.pop()
+        paragraph, link = paragraph or node.tag == "p", link or node.tag == "a"
+        order.append(node)
+        size = sum(len(c.strip()) for c in node.children if isinstance(c, str)) if paragraph else 0
+        own.append((size, size if link else 0))
+        stack.extend((c, paragraph, link) for c in node.children if isinstance(c, Node) and c.tag not in RAW)
+    for node, (size, links) in zip(reversed(order), reversed(own), strict=True):
+        node.prose += size
+        node.prose_links += links
+        if node.parent is not None:
+            node.parent.prose += node.prose
+            node.parent.prose_links += node.prose_links
+    for node in order:
+        node.is_page = node.tag == "form" and 2 * node.prose > root.prose
+
+
 def _measure(root: Node) -> list[Node]:
     """Text and link sizes of all elements that are no boilerplate; these elements, in page order."""
-    order, stack = [], [root]
+    _weigh_paragraphs(root)
+    order, stack = [], [(root, False)]
     while stack:
-        node = stack.pop()
-        node.bad = is_boilerplate(node)
+        node, inside = stack.pop()
+        node.bad = is_boilerplate(node, inside)
         if node.bad:
             continue
         order.append(node)
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        inside |= node.tag in ("article", "main")
+        stack.extend((c, inside) for c in reversed(node.children) if isinstance(c, Node))
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
@@ -213,15 +244,17 @@ def main_text(page: str | None) -> str:
         text = _paragraph(node)
         if text is None or len(text.strip()) < 25:
             continue
-        points = 1 + text.count(",") + min(len(text) // 100, 3)
-        up, level = (node.parent if node.tag in ("p", "pre", "td", "blockquote", "dd", "li") else node), 0
-        while up is not None and up.tag != "#root" and level < 6:
-            if not up.points:
-                words = _words(up.attributes)
-                up.points = 0.1 + 25 * bool(up.tag in ("article", "main")) + 5 * (up.tag == "div") + 10 * bool(words & GOOD_WORDS) - 3 * (up.tag in ("ul", "ol", "dl", "td", "th", "address"))
-                scored.append(up)
-            up.points += points / (1 if level == 0 else 2 * level if level < 2 else 3 * level)
-            up, level = up.parent, level + 1
+        up = node.parent if node.tag in ("p", "pre", "td", "blockquote", "dd", "li") else node
+        if up is not None:
+            up.points += 1 + text.count(",") + min(len(text) // 100, 3)
+    for node in reversed(order):  # children before their parents
+        if node.points and node.tag != "#root":
+            if node.parent is not None:
+                node.parent.points += node.points / 2
+            words = _words(node.attributes)
+            node.points += 0.1 + 25 * bool(node.tag in ("article", "main")) + 5 * (node.tag == "div") + 10 * bool(words & GOOD_WORDS) - 3 * (node.tag in ("ul", "ol", "dl", "td", "th", "address"))
+            scored.append(node)
+    scored.reverse()
     if not scored:
         articles = [n for n in order if n.tag in ("article", "main")]
         best = max(articles, key=lambda n: n.size, default=root)
