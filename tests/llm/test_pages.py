@@ -1,8 +1,10 @@
 """Pages that an extractor may lose text of, and odd tables of pages."""
 
+import hashlib
+
 import pytest
 
-from tidewright.llm import html_extract
+from tidewright.llm import fingerprint, html_extract
 
 LONG = "This is a long enough sentence, with some commas, and more words to read here. " * 3
 
@@ -43,3 +45,16 @@ def test_odd_tables(spark):
     assert [(r.page_id, r.text if r.n_chars < 99 else "long") for r in got] == [(1, "Some text that is long enough to be kept.")] * 2 + [(2, ""), (3, ""), (5, "<"), (None, "long")]
     assert got[-1].n_chars == 5000 * (len(LONG) - 1) + 2 * 4999
     assert html_extract.extract_pages(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("rows_each", [1, 2, 100])
+def test_next_documents_of_rows_without_ids(spark, rows_each):
+    """Fingerprints: buckets of rows without an id, or of equal ids, have their own first document."""
+    texts = [(6, "six " * 30), (5, "five a " * 30), (5, "five b " * 30), (None, "none a " * 30), (None, "none b " * 30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = []
+    for (_, text), (_, after) in zip(texts, texts[1:] + texts[:1], strict=True):
+        half = len(text) // 2
+        want.append(hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest())
+    got = fingerprint.compare_with_next(df, rows_each=rows_each).collect()
+    assert sorted(r.edited_sha256 for r in got) == sorted(want)

@@ -180,11 +180,12 @@ def compare_with_next(docs: DataFrame, rows_each: int = 4000, most_buckets: int
     # One row per bucket, whatever the number of documents.
     heads = {r.bucket: r.head for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}
     order = sorted(heads, reverse=True)
-    after = [(heads[b], a) for a, b in zip(order, order[1:] + order[:1], strict=True) if len(order) > 1 and heads[b] is not None]
+    after = [(heads[b], a) for a, b in zip(order, order[1:] + order[:1], strict=True) if len(order) > 1]
     rows = dealt.withColumn("extra", F.lit(False))
     if after:
-        targets = docs.sparkSession.createDataFrame(after, "doc_id long, bucket int")
-        first = docs.join(F.broadcast(targets), "doc_id").groupBy("doc_id", "bucket").agg(F.min(F.struct(F.col("text").isNotNull(), "text")).alias("t"))
+        # A bucket of rows without an id alone has none as its head.
+        targets = docs.sparkSession.createDataFrame(after, "head long, bucket int")
+        first = docs.join(F.broadcast(targets), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("doc_id", "bucket").agg(F.min(F.struct(F.col("text").isNotNull(), "text")).alias("t"))
         rows = rows.union(first.select("doc_id", "t.text", "bucket", F.lit(True)))
     rows = rows.repartitionById(len(splits) - 1, F.col("bucket")).sortWithinPartitions(F.col("extra"), F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     return map_arrow(rows.select("doc_id", "text", "extra"), _chain, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
