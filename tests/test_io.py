@@ -43,6 +43,33 @@ def test_actor_map(spark, tmp_path):
         readers.actor_mappings(spark, str(tmp_path / "n"))
 
 
+def test_actor_map_comments(spark, tmp_path):
+    (tmp_path / "m").write_text("; first\na:x\n\n  ; second\nb:y\n")
+    assert readers.comments(spark, str(tmp_path / "m")) == ["; first", "; second"]
+
+
+def test_translator_dictionary(spark, tmp_path):
+    (tmp_path / "d").write_text("; c\nCleanup = !?-\nword  w_er_d\nfoo f_oo\nword wo\nalone\n")
+    words, signs = readers.replacements(spark, str(tmp_path / "d"))
+    assert {(r.search, r.replacement) for r in words.collect()} == {("word", "wo"), ("foo", "f_oo")} and signs == "".join(sorted("!?-…*/+\\"))
+    words, signs = readers.replacements(spark, str(tmp_path / "none"))
+    assert words.isEmpty() and signs == "".join(sorted(readers.CLEANUP))
+    (tmp_path / "d").write_text("a b\nother = x\n")
+    with pytest.raises(ValueError, match="other = x"):
+        readers.replacements(spark, str(tmp_path / "d"))
+
+
+def test_recognizer_config(spark, tmp_path):
+    (tmp_path / "c").write_text("; c\nphonemes = AA B AA C\ncleanup = .,.\ndictionary = x.dict\na = AA\nb = B|AA\n")
+    settings, phonemes, letters = readers.recognizer_config(spark, str(tmp_path / "c"))
+    assert sorted(r.label for r in phonemes.collect()) == ["AA", "B", "C"] and readers.cleanup_signs(settings) == ",."
+    assert {r.letter: r.alternatives for r in letters.collect()} == {"a": "AA", "b": "(AA|B)"}
+    for bad, why in (("strange = 1", "unknown key strange"), ("a =", "at least one alternative"), ("a = ZZ", "unknown phoneme: ZZ"), ("a = b = c", "expected 2 columns")):
+        (tmp_path / "c").write_text(f"phonemes = AA B\n{bad}\n")
+        with pytest.raises(ValueError, match=why):
+            readers.recognizer_config(spark, str(tmp_path / "c"))
+
+
 def test_track_round_trip(spark, tmp_path):
     body = ";meta[language=en]\n;meta[version=2]\n;meta[text=hi]\n;phoneme|start|end|weight|score\n----\na|0|100|1.0|0.9\n;_|100|120|1.0|-1.0\n---\nb|120|200|1.1|1.0\n"
     (tmp_path / "0000000007.phonemes").write_text(body)

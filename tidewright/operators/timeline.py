@@ -46,6 +46,14 @@ def zoom(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(ZOOM_LOW)), F.lit(ZOOM_HIGH))
 
 
+def zoomed(offset: Column, factor: Column, amount: Column, fixed: Column, samples: Column) -> tuple[Column, Column]:
+    """The factor and the offset in samples after zooming by an amount (a quarter of the factor each), so that the sample at
+    the fixed place stays where it is; the view stays inside the clip."""
+    new = zoom(factor + factor * 0.25 * amount)
+    shifted = F.greatest(F.lit(0.0), offset - fixed * ((factor - new) / (factor * new)))
+    return new, F.least(F.floor(shifted), samples - F.floor(samples / new)).cast("bigint")
+
+
 def view_window(length_ms: Column, zoom_: Column, offset: Column) -> tuple[Column, Column]:
     """First and last millisecond of a view; the offset is a share of the length, kept inside it."""
     size = length_ms / zoom(zoom_)

@@ -76,18 +76,39 @@ def track_quality(segments: DataFrame) -> DataFrame:
     return sums.select("id", "n_segments", "n_active", "n_gaps", "n_unusual", "n_inactive", low.alias("low_percent"), quality.alias("quality"))
 
 
+#: The texts of warnings, for unusual durations, gaps, inactive segments and low scores.
+SHORT = ("suspicious duration: %dms", "phoneme gap within a word?", "inactive phoneme within a word", "low confidence-score: %.2f")
+LONG = (
+    "unusually short/long segment duration %d ms for a phoneme within a word",
+    "detected possible phoneme gap within a word",
+    "inactive segments within a word (found %d)",
+    "> 20%% of active segments have low confidence-score (found %d%%, see phoneme data table)",
+)
+
+
 def with_warnings(segments: DataFrame) -> DataFrame:
-    """warnings: the texts of each segment's findings."""
-    rows = with_findings(segments)
-    count = F.count_if(F.col("inactive_real")).over(_all())
-    each = F.array_compact(
-        F.array(
-            F.when(F.col("unusual"), F.format_string("unusual duration: %d ms", F.col("stop") - F.col("start"))),
-            F.when(F.col("gap_in_word"), F.lit("phoneme gap in word")),
-            F.when(F.col("inactive_real"), F.format_string("%d inactive segments in word", count)),
+    """short and long: the texts of each segment's findings; low scores are one where the track has many of them."""
+    track = Window.partitionBy("id")
+    found = with_findings(segments).withColumns({
+        "_inactive": F.count_if(F.col("inactive_real")).over(_all()),
+        "_low": F.round(F.try_divide(F.count_if(F.col("low")).over(track) * 100, F.count_if(F.col("active")).over(track))).cast("bigint"),
+    })
+    duration = F.greatest(F.col("stop") - F.col("start"), F.lit(0))
+    many = F.col("low") & (F.col("_low") > MOST_LOW)
+
+    def texts(form: tuple, inactive: Column, low: Column) -> Column:
+        each = (
+            F.when(F.col("unusual"), F.format_string(form[0], duration)),
+            F.when(F.col("gap_in_word"), F.lit(form[1])),
+            F.when(F.col("inactive_real"), inactive),
+            F.when(many, low),
         )
-    )
-    return rows.withColumn("warnings", each)
+        return F.array_compact(F.array(*each))
+
+    return found.withColumns({
+        "short": texts(SHORT, F.lit(SHORT[2]), F.format_string(SHORT[3], F.col("score").cast("double"))),
+        "long": texts(LONG, F.format_string(LONG[2], "_inactive"), F.format_string(LONG[3], "_low")),
+    }).drop("_inactive", "_low")
 
 
 def word_bounds(segments: DataFrame) -> DataFrame:

@@ -238,6 +238,17 @@ def segment_findings(s, d):
     return tracks.with_findings(A.segments(s, d)).select("id", "slot", "gap_in_word", "unusual", "low", "inactive_real", F.col("inner").alias("inside"))
 
 
+@query(f"""SELECT id, slot, concat_ws('; ', CASE WHEN unusual THEN 'suspicious duration: ' || ms || 'ms' END, CASE WHEN gap_in_word THEN 'phoneme gap within a word?' END,
+    CASE WHEN inactive_real THEN 'inactive phoneme within a word' END, CASE WHEN many THEN 'low confidence-score: ' || printf('%.2f', score) END) AS short,
+  concat_ws('; ', CASE WHEN unusual THEN 'unusually short/long segment duration ' || ms || ' ms for a phoneme within a word' END, CASE WHEN gap_in_word THEN 'detected possible phoneme gap within a word' END,
+    CASE WHEN inactive_real THEN 'inactive segments within a word (found ' || n_inactive || ')' END, CASE WHEN many THEN '> 20% of active segments have low confidence-score (found ' || percent || '%, see phoneme data table)' END) AS long
+FROM (SELECT *, low AND percent > 20 AS many FROM (SELECT *, greatest(stop - start, 0) AS ms, count(*) FILTER (WHERE inactive_real) OVER (PARTITION BY id, word_no) AS n_inactive,
+  CAST(round(count(*) FILTER (WHERE low) OVER (PARTITION BY id) * 100.0 / nullif(count(*) FILTER (WHERE active) OVER (PARTITION BY id), 0)) AS BIGINT) AS percent FROM ({_FOUND})))""")
+def segment_warnings(s, d):
+    found = tracks.with_warnings(A.segments(s, d))
+    return found.select("id", "slot", F.array_join("short", "; ").alias("short"), F.array_join("long", "; ").alias("long"))
+
+
 @query(f"""SELECT id, n_segments, n_active, n_gaps, n_unusual, n_inactive, low_percent, CASE WHEN version <= 1 THEN CASE severity WHEN 2 THEN 'NeedsCheckError' WHEN 1 THEN 'NeedsCheckWarn' ELSE 'Ok' END WHEN severity = 0 THEN 'EditedOk' ELSE 'EditedWithErrors' END AS quality
   FROM (SELECT *, CASE WHEN n_gaps > 0 OR n_inner > 0 THEN 2 WHEN n_unusual > 0 OR n_inactive > 0 OR low_percent > 20 THEN 1 ELSE 0 END AS severity
   FROM (SELECT id, max(version) AS version, count(*) AS n_segments, count(*) FILTER (WHERE active) AS n_active, count(*) FILTER (WHERE gap_in_word) AS n_gaps, count(*) FILTER (WHERE unusual) AS n_unusual,

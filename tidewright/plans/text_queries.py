@@ -101,6 +101,15 @@ def audio_gates(s, d):
     return A.table(s, d, "part").select("p_partkey", gate.alias("gate"))
 
 
+@query(f"""SELECT event_id, factor, CAST(least(floor(greatest(0.0, place - fixed * ((old - factor) / (old * factor)))), n - floor(n / factor)) AS BIGINT) AS begin
+FROM (SELECT *, least(greatest(old + old * 0.25::DOUBLE * amount, {timeline.ZOOM_LOW}), {timeline.ZOOM_HIGH})::DOUBLE AS factor
+  FROM (SELECT event_id, (1 + event_id % 29)::DOUBLE AS old, (event_id % 7 - 3)::DOUBLE AS amount, user_id * 10 AS place, event_id % 900 AS fixed, user_id * 100 + 1000 AS n FROM events))""")
+def zoomed_views(s, d):
+    key, user = F.col("event_id"), F.col("user_id")
+    factor, begin = timeline.zoomed(user * 10, (1 + key % 29).cast("double"), (key % 7 - 3).cast("double"), key % 900, user * 100 + 1000)
+    return A.table(s, d, "events").select("event_id", factor.alias("factor"), begin.alias("begin"))
+
+
 # --- activation --------------------------------------------------------------------------------
 
 _SNAP = "CASE WHEN {t} < {low} THEN {low} WHEN {t} > {high} THEN {high} ELSE {t} END"

@@ -20,6 +20,9 @@ from ..functions import text as T
 
 #: Track metadata keys, and limits of similarity scores.
 META_KEYS = ["language", "version", "actor", "text", "translation", "audio-hypothesis"]
+CONFIG_KEYS = ["phonemes", "cleanup", "phoneme-model", "dictionary", "noise-dictionary"]
+#: The signs that a translator's texts are cleaned of, whatever its dictionary says.
+CLEANUP = "-…*/+\\"
 SCORE_LOW, SCORE_HIGH, EMPTY_SCORE = -2.1, 2.1, -1.0
 
 
@@ -62,6 +65,12 @@ def actor_mappings(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("key").agg(F.min("line_no").alias("pos"), F.max_by("value", "line_no").alias("mapped")).select("pos", F.col("key").alias("actor"), "mapped")
 
 
+def comments(spark: SparkSession, path: str) -> list[str]:
+    """The comment lines of a small file such as an actor mapping, in order, to be written back with it."""
+    rows = numbered_lines(spark, path).where(F.startswith(F.trim("line"), F.lit(";"))).orderBy("line_no")
+    return [r.line.strip() for r in rows.collect()]
+
+
 def similarity_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(text_ph, audio_ph, col_pos, score): the matrix as long table; empty cells have the default score."""
     rows = _content(spark, path).withColumn("cells", F.transform(F.split("line", r"\|"), F.trim))
@@ -78,9 +87,19 @@ def similarity_matrix(spark: SparkSession, path: str) -> DataFrame:
     return fail_on_error(rows).drop("line_no")
 
 
+def cleanup_signs(settings: DataFrame) -> str:
+    """The signs that texts are cleaned of, of a recognizer's settings: each once, in order."""
+    found = settings.where("key = 'cleanup'").first()
+    return "".join(sorted(set(found.value) - {" "})) if found else ""
+
+
 def recognizer_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(settings, phonemes, letters) of key = value lines; one-letter keys have alternatives, which must be phonemes."""
-    rows = fail_on_error(key_values(spark, path))
+    """(settings, phonemes, letters) of key = value lines with known keys; one-letter keys have alternatives, which must be phonemes."""
+    rows = key_values(spark, path)
+    strange = F.format_string("unknown key %s", "key")
+    empty = F.format_string("expected at least one alternative for character %s", "key")
+    wrong = F.when((F.length("key") != 1) & ~F.col("key").isin(CONFIG_KEYS), strange).when((F.length("key") == 1) & (F.coalesce("value", F.lit("")) == ""), empty)
+    rows = fail_on_error(rows.withColumn("error", F.coalesce("error", wrong)))
     last = rows.groupBy("key").agg(F.max_by("value", "line_no").alias("value"))
     words = F.array_sort(F.array_distinct(F.filter(F.split("value", r"[\s,|]+"), lambda x: x != "")))
     phonemes = last.where("key = 'phonemes'").select(F.explode(words).alias("label"))
@@ -103,11 +122,20 @@ def phoneme_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replacements(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """(search, replacement) lines, and the characters of CLEANUP lines."""
-    rows = _content(spark, path)
-    clean = rows.where(F.col("line").rlike(r"^\s*CLEANUP\s*=")).select(F.explode(F.split(F.regexp_extract("line", "=(.*)$", 1), "")).alias("c")).where("trim(c) <> ''").distinct().orderBy("c")
-    pairs = rows.where(~F.contains(F.col("line"), F.lit("="))).select(F.split(F.trim("line"), r"\s+").alias("p")).select(F.get("p", 0).alias("search"), F.get("p", 1).alias("replacement"))
-    return pairs, "".join(r.c for r in clean.collect())
+    """(search, replacement), the last of a word, and the clean-up signs of a translator's dictionary: lines "word phonemes"
+    and "cleanup = signs"; another line with = is an error, a missing file is an empty one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        return spark.createDataFrame([], "search string, replacement string"), "".join(sorted(set(CLEANUP)))
+    lines = numbered_lines(spark, path).where(~F.startswith(F.col("line"), F.lit(";")))
+    assigned = F.contains("line", F.lit("="))
+    clean = F.lower(F.trim(F.substring_index("line", "=", 1))) == "cleanup"
+    error = F.when(assigned & ~clean, F.format_string("failed to parse dictionary line [%s]", "line"))
+    rows = fail_on_error(lines.withColumn("error", error))
+    signs = {c for r in rows.where(assigned).collect() for c in r.line.split("=", 1)[1].strip()}
+    cells = rows.where(~assigned & F.contains("line", F.lit(" "))).select("line_no", F.split("line", " ", 2).alias("p"))
+    words = cells.select("line_no", F.trim(F.get("p", 0)).alias("search"), F.trim(F.get("p", 1)).alias("replacement"))
+    return words.groupBy("search").agg(F.max_by("replacement", "line_no").alias("replacement")), "".join(sorted(signs | set(CLEANUP)))
 
 
 def _catalogue_rows(content: str, language: str | None) -> tuple[list[tuple], str]:

@@ -10,6 +10,14 @@ def meta_line(key: str, value: Column) -> Column:
     return F.concat(F.lit(f";meta[{key}="), F.coalesce(value.cast("string"), F.lit("")), F.lit("]"))
 
 
+def header_line(text: Column) -> Column:
+    return F.concat(F.lit(";"), text)
+
+
+def comment_line(text: Column) -> Column:
+    return F.concat(F.lit(";"), text)
+
+
 def segment_line(s: Column) -> Column:
     """One segment, with fixed widths; ; marks inactive ones, and scores below zero ask for a check."""
     status = F.when(s["score"] < 0, "<- VERIFY!").otherwise("ok")
