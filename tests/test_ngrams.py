@@ -47,3 +47,20 @@ def test_grams_of_texts(spark):
     assert ngrams.scored(ngrams.spoken_grams(texts), empty).select(F.sum("used")).first()[0] == 0
     with pytest.raises(ValueError):
         ngrams.model(texts, 1.5)
+
+
+def test_a_model_shuffles_grams_once(spark, monkeypatch):
+    texts = spark.createDataFrame([("x y z x y",), ("y z",)], "text string")
+    got = {tuple(r) for r in ngrams.centred(texts).collect()}
+    assert got == {("x", None, "y", 1), ("y", "x", "z", 1), ("z", "y", "x", 1), ("x", "z", "y", 1), ("y", "x", None, 1), ("y", None, "z", 1), ("z", "y", None, 1)}
+    # All tables of a model come out of one shuffle of packed grams; none is written.
+    monkeypatch.setattr(ngrams, "saved", None, raising=False)
+    by = ngrams.model(texts)
+    assert by.pairs.count() == 3 and by.triples.count() == 3
+
+
+def test_blocks_of_texts(monkeypatch):
+    monkeypatch.setattr(ngrams, "GRAMS", 4)
+    got = list(ngrams._dealt(iter(["b a b", "", "a", "  x"])))
+    assert got[0] == (["b", "a"], [" a\na ", "b b"])
+    assert sum(line.count(" ") for words, around in got for x in around for line in x.split("\n")) == 6

@@ -5,20 +5,29 @@ shorter history: log p(c | a b) is that of the trigram if it was seen, else the
 log p(c | b); and so on down to single words, where the rest is the share of all words that were never seen.
 Histories that were never seen have the weight 0.  Logarithms are natural.
 
-Texts are cut at white space (0x20, 0x09 to 0x0D); null and empty texts have no words.  Grams are counted where they
-stand, before any shuffle, so frequent words cost no more than rare ones; a model's tables are written once.
+Texts are cut at white space (0x20, 0x09 to 0x0D); null and empty texts have no words.  A text's grams are dealt out once,
+by their middle word, and a model's tables are plans over that one shuffle: the grams of a word lie in one task, so the
+most frequent word's share of all words is the largest task's.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import ship
 
 DISCOUNT = 0.75
+#: Words of texts that are dealt out together, and rows of a batch.
+GRAMS, ROWS = 1 << 20, 10_000
+SPACE = re.compile("[ \t-\r]+")
 
 
 def words_of(text: Column) -> Column:
@@ -37,9 +46,53 @@ def counted(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return cells.groupBy("a", "b", "c").agg(F.count("*").alias("n"))
 
 
+def _dealt(texts: Iterator[str | None]) -> Iterator[tuple[list[str], list[str]]]:
+    """Words b and for each the words around it, in blocks of GRAMS words or one text: "a c c ..." lines, the lines of one b
+    in one string, an empty a or c where the text ends.  So a frequent word is sent once a block, not once a gram."""
+    words: list[str] = []
+    for text in itertools.chain(texts, [None]):
+        if text is not None:
+            words += ["", *filter(None, SPACE.split(text))]
+            if len(words) < GRAMS:
+                continue
+        elif not words:
+            continue
+        coded = pa.array([*words, ""]).dictionary_encode()
+        words, names, codes = [], coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        at = np.flatnonzero(codes[:-1])  # the empty word comes first, so it is 0
+        b, a, c = codes[at], codes[at - 1], codes[at + 1]
+        order = np.lexsort((c, a, b))
+        b, a, last = b[order], a[order], [names[k] for k in c[order].tolist()]
+        new_b = np.append(True, b[1:] != b[:-1]) if len(b) else np.zeros(0, bool)
+        new = np.flatnonzero(new_b | np.append(True, a[1:] != a[:-1])) if len(b) else np.zeros(0, np.int64)
+        lines = [f"{names[k]} {' '.join(last[x:y])}" for k, x, y in zip(a[new].tolist(), new.tolist(), [*new[1:].tolist(), len(b)])]
+        first = np.flatnonzero(new_b[new]).tolist()
+        yield [names[k] for k in b[new_b].tolist()], ["\n".join(lines[x:y]) for x, y in zip(first, [*first[1:], len(lines)])]
+
+
+def centred(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(b, a, c, n): how often each word b occurs between the words a and c; a is null at the start of a text, c at its end.
+
+    Grams are shuffled this one time, dealt by b: what a model asks of a gram is known where its middle word lies, but for
+    the totals of a."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, around in _dealt(t for batch in batches for t in batch.column(0).to_pylist() if t is not None):
+            for k in range(0, len(words), ROWS):
+                yield pa.record_batch([pa.array(words[k : k + ROWS], pa.string()), pa.array(around[k : k + ROWS], pa.string())], names=["b", "around"])
+
+    ship(texts.sparkSession)
+    dealt = texts.select(F.col(text_col)).mapInArrow(run, "b string, around string").repartition("b")
+    lines = dealt.select("b", F.explode(F.split("around", "\n", -1)).alias("line")).select("b", F.split("line", " ", -1).alias("w"))
+    empty = lambda c: F.nullif(c, F.lit(""))
+    cells = lines.select("b", F.col("w")[0].alias("a"), F.explode(F.slice("w", F.lit(2), F.size("w"))).alias("c"))
+    grams = cells.groupBy("b", "a", "c").agg(F.count("*").alias("n"))
+    return grams.select("b", empty("a").alias("a"), empty("c").alias("c"), "n")
+
+
 @dataclass
 class Model:
-    """words (c, p, bow), pairs (b, c, p, bow) and triples (a, b, c, p), written tables of logarithms; bow is the weight of a
+    """words (c, p, bow), pairs (b, c, p, bow) and triples (a, b, c, p), tables of logarithms; bow is the weight of a
     history that backs off, null if nothing follows it; unseen is the log probability of an unknown word."""
 
     words: DataFrame
@@ -48,34 +101,35 @@ class Model:
     unseen: DataFrame
 
 
-def _discounted(counts: DataFrame, history: list[str], discount: float) -> DataFrame:
-    """counts with their probability after the history, and totals (history, left): the share that is left over."""
-    totals = counts.groupBy(*history).agg(F.sum("n").alias("_total"), F.count("*").alias("_kinds"))
-    rows = counts.join(totals, history) if history else counts.join(F.broadcast(totals), F.lit(True))
-    return rows.withColumn("p", (F.col("n") - discount) / F.col("_total")).withColumn("left", discount * F.col("_kinds") / F.col("_total")).drop("_total", "_kinds")
-
-
 def model(texts: DataFrame, discount: float = DISCOUNT, text_col: str = "text") -> Model:
-    """The model of texts."""
+    """The model of texts.  Its tables are not written; all come out of the one shuffle of the grams, and a query runs
+    what it reads of them."""
     if not 0 < discount < 1:
         raise ValueError("the discount lies between 0 and 1")
-    counts = saved(counted(texts, text_col), "grams")
-    one = counts.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("n"))
-    two = counts.where("b is not null").groupBy(F.col("a").alias("b"), F.col("b").alias("c")).agg(F.sum("n").alias("n"))
-    three = counts.where("c is not null")
-    words = _discounted(one, [], discount)
-    pairs = _discounted(two, ["b"], discount)
-    triples = _discounted(three, ["a", "b"], discount)
-    # The weight of a history: what it leaves over, by what the shorter history gives to words not seen after it.
-    by_word = pairs.join(words.select("c", F.col("p").alias("_low")), "c").groupBy(F.col("b").alias("c")).agg((F.first("left") / (1 - F.sum("_low"))).alias("bow"))
-    by_pair = triples.join(pairs.select("b", "c", F.col("p").alias("_low")), ["b", "c"]).groupBy("a", "b").agg((F.first("left") / (1 - F.sum("_low"))).alias("bow"))
-    by_pair = by_pair.select(F.col("a").alias("b"), F.col("b").alias("c"), "bow")
+    counts = centred(texts, text_col)
+    ones = counts.groupBy("b").agg(F.sum("n").alias("one"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("total"))
+    size = ones.agg(F.sum("one").alias("_n"), F.count("*").alias("_kinds"))
+    follows = F.col("c").isNotNull()
+    # The probability of c after b, at each gram; windows within b need no shuffle.
+    low = (F.sum("n").over(Window.partitionBy("b", "c")) - discount) / F.col("total")
+    known = counts.join(ones, "b").withColumn("low", F.when(follows, low))
+    # Each pair with its word's count, and the weight of its history: what it leaves over, by what the shorter history
+    # gives to words not seen after it.
+    left = discount * F.count("c") / F.sum(F.when(follows, F.col("n")))
+    seen = known.where("a is not null").groupBy("b", "a").agg(F.sum("n").alias("n"), F.first("one").alias("one"), (left / (1 - F.sum("low"))).alias("bow"))
+    pairs = seen.join(ones.select(F.col("b").alias("a"), "total"), "a").select(F.col("a").alias("b"), F.col("b").alias("c"), ((F.col("n") - discount) / F.col("total")).alias("p"), "bow")
+    word = (F.col("one") - discount) / F.col("_n")
+    sized = seen.join(F.broadcast(size), F.lit(True))  # one row
+    by_word = sized.groupBy(F.col("a").alias("c")).agg((discount * F.count("*") / F.sum("n") / (1 - F.sum(word))).alias("bow"))
+    words = ones.join(F.broadcast(size), F.lit(True)).select(F.col("b").alias("c"), word.alias("p"))
+    own = Window.partitionBy("b", "a")
+    triples = counts.where("c is not null").select("a", "b", "c", ((F.col("n") - discount) / F.sum("n").over(own)).alias("p")).where("a is not null")
     log = lambda c: F.log(c).alias(c)
     return Model(
-        saved(words.join(by_word, "c", "left").select("c", log("p"), log("bow")), "words"),
-        saved(pairs.join(by_pair, ["b", "c"], "left").select("b", "c", log("p"), log("bow")), "pairs"),
-        saved(triples.select("a", "b", "c", log("p")), "triples"),
-        words.agg(F.log(F.first("left")).alias("unseen")),
+        words.join(by_word, "c", "left").select("c", log("p"), log("bow")),
+        pairs.select("b", "c", log("p"), log("bow")),
+        triples.select("a", "b", "c", log("p")),
+        size.select(F.log(discount * F.col("_kinds") / F.col("_n")).alias("unseen")),
     )
 
 
