@@ -64,3 +64,9 @@ def test_blocks_of_texts(monkeypatch):
     got = list(ngrams._dealt(iter(["b a b", "", "a", "  x"])))
     assert got[0] == (["b", "a"], [" a\na ", "b b"])
     assert sum(line.count(" ") for words, around in got for x in around for line in x.split("\n")) == 6
+
+
+def test_scores_read_what_is_asked_for(spark):
+    by = ngrams.model(spark.createDataFrame([("x y z x y",)], "text string"))
+    plan = ngrams.scored(spark.createDataFrame([("x", "y", "z")], "a string, b string, c string"), by)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 5

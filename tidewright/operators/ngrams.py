@@ -7,7 +7,7 @@ Histories that were never seen have the weight 0.  Logarithms are natural.
 
 Texts are cut at white space (0x20, 0x09 to 0x0D); null and empty texts have no words.  A text's grams are dealt out once,
 by their middle word, and a model's tables are plans over that one shuffle: the grams of a word lie in one task, so the
-most frequent word's share of all words is the largest task's.
+most frequent word's share of all words is the largest task's.  Scores read only those rows of a model that are asked for.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import saved, ship
 
 DISCOUNT = 0.75
 #: Words of texts that are dealt out together, and rows of a batch.
 GRAMS, ROWS = 1 << 20, 10_000
 SPACE = re.compile("[ \t-\r]+")
+#: Grams whose keys are broadcast to the model's tables at most.
+MOST_BROADCAST = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -137,11 +139,21 @@ def scored(grams: DataFrame, by: Model, weight: float = 1.0, penalty: float = 1.
     """grams (a, b, c, ...) with logp and score of c after a and b, and used: how many words of the gram were found at once
     (0 for an unknown word).  A null a, or a and b, is a shorter history.  The score weighs logp and adds the log of the
     insertion penalty."""
-    rows = grams.join(by.triples.select("a", "b", "c", F.col("p").alias("_p3")), ["a", "b", "c"], "left")
-    rows = rows.join(by.pairs.select("b", "c", F.col("p").alias("_p2")), ["b", "c"], "left")
-    rows = rows.join(by.words.select("c", F.col("p").alias("_p1")), "c", "left")
-    rows = rows.join(by.pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("bow").alias("_w2")), ["a", "b"], "left")
-    rows = rows.join(by.words.select(F.col("c").alias("b"), F.col("bow").alias("_w1")), "b", "left")
+    grams = saved(grams, "grams")
+    few = grams.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+    def of(table: DataFrame, **named: str) -> DataFrame:
+        """The rows of a table that the grams ask for, with the grams' names of its columns."""
+        table = table.select(*(F.col(c).alias(n) for c, n in named.items()))
+        on = [n for n in named.values() if not n.startswith("_")]
+        asked = grams.select(*on).distinct()
+        return table.join(F.broadcast(asked) if few else asked, on, "left_semi")
+
+    rows = grams.join(of(by.triples, a="a", b="b", c="c", p="_p3"), ["a", "b", "c"], "left")
+    rows = rows.join(of(by.pairs, b="b", c="c", p="_p2"), ["b", "c"], "left")
+    rows = rows.join(of(by.words, c="c", p="_p1"), "c", "left")
+    rows = rows.join(of(by.pairs, b="a", c="b", bow="_w2"), ["a", "b"], "left")
+    rows = rows.join(of(by.words, c="b", bow="_w1"), "b", "left")
     rows = rows.join(F.broadcast(by.unseen), F.lit(True), "left")  # one row
     low = F.coalesce("_p1", "unseen")
     middle = F.coalesce(F.col("_p2"), F.coalesce("_w1", F.lit(0.0)) + low)
