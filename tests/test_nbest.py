@@ -2,8 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
+from tidewright.operators import align as align_module
+from tidewright.operators import nbest
 from tidewright.operators.align import OPS, Similarity, align
 from tidewright.operators.nbest import n_best, n_best_tracks
 
@@ -76,3 +79,20 @@ def test_tables(spark):
     assert [(r.id, r.rank, r.total, r.ops) for r in got] == [(1, 1, 2.0, ["match"]), (1, 2, -2.0, ["insert", "delete"])]
     assert n_best_tracks(pairs.where("false"), [("p", "p", 2.0)], 2).count() == 0
     assert Similarity({}).gap == -1.0
+
+
+def test_items_of_a_batch_at_once(spark, monkeypatch):
+    """Items of one shape are filled together: a batch of many takes about as many passes as it has shapes, with the ways of single items."""
+    rng = random.Random(11)
+    sim = matrix(pi=0.5, ka=0.6)
+    rows = [(i, *built(rng, rng.randint(1, 3), rng.randint(1, 3))) for i in range(300)]
+    audio, text = (pa.array([r[c] for r in rows], kind) for c, kind in ((1, align_module._AUDIO), (2, align_module._TEXT)))
+    passes = []
+    monkeypatch.setattr(nbest, "best_ways", lambda lanes, k, real=nbest.best_ways: passes.append(1) or real(lanes, k))
+    got = {}
+    for item, (rank, total, ops) in nbest.n_best_batch(sim, audio, text, 3):
+        for i, r, t, o in zip(item.tolist(), rank.to_pylist(), total.to_pylist(), ops.to_pylist(), strict=True):
+            got[i, r] = (t, o)
+    assert len(passes) == 9
+    for i, heard_, said_ in rows:
+        assert [got[i, r] for r in (1, 2, 3) if (i, r) in got] == n_best(sim, heard_, said_, 3)

@@ -150,6 +150,17 @@ def _text(cells: pa.StructArray, field: str) -> pa.Array:
     return pc.fill_null(cells.field(field), "")
 
 
+def of_one_shape(n: np.ndarray, m: np.ndarray, items: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    """The items in blocks of one shape (n, m), each of so many cells or one item."""
+    order = items[np.lexsort((m[items], n[items]))]
+    edges = np.flatnonzero(np.diff(n[order], prepend=-1) | np.diff(m[order], prepend=-1)).tolist()
+    for x, y in zip(edges, edges[1:] + [len(order)] * bool(edges), strict=True):
+        size, width = int(n[order[x]]), int(m[order[x]])
+        step = max(1, cells // ((size + 1) * (size + width)))
+        for k in range(x, y, step):
+            yield order[k : min(k + step, y)]
+
+
 def align_batch(sim: Similarity, audio: pa.ListArray, text: pa.ListArray, longest: int | None = LONGEST) -> list[pa.Array]:
     """The columns rows, ops, min_score, has_gaps and error of a batch of items."""
     heard, a0, n = _flat(audio)
@@ -168,17 +179,11 @@ def align_batch(sim: Similarity, audio: pa.ListArray, text: pa.ListArray, longes
     sound = np.flatnonzero(~empty & ~long)
     # Items of one shape are lanes, in blocks whose cells are held at once.
     parts = []
-    order = sound[np.lexsort((m[sound], n[sound]))]
-    edges = np.flatnonzero(np.diff(n[order], prepend=-1) | np.diff(m[order], prepend=-1)).tolist()
-    for x, y in zip(edges, edges[1:] + [len(order)] * bool(edges), strict=True):
-        size, width = int(n[order[x]]), int(m[order[x]])
-        step = max(1, CELLS // ((size + 1) * (size + width)))
-        for k in range(x, y, step):
-            mine = order[k : min(k + step, y)]
-            a, t = a0[mine][:, None] + np.arange(size), t0[mine][:, None] + np.arange(width)
-            item, op, i, j, own = Lanes(sim, codes[a], noise[a], silence[a], begin[a], end[a], words[t], starts[t]).path()
-            item = mine[item]
-            parts.append((item, op, a0[item] + i, t0[item] + j, own))
+    for mine in of_one_shape(n, m, sound, CELLS):
+        a, t = a0[mine][:, None] + np.arange(n[mine[0]]), t0[mine][:, None] + np.arange(m[mine[0]])
+        item, op, i, j, own = Lanes(sim, codes[a], noise[a], silence[a], begin[a], end[a], words[t], starts[t]).path()
+        item = mine[item]
+        parts.append((item, op, a0[item] + i, t0[item] + j, own))
     item, op, i, j, own = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, k) for k in (np.int64, np.int8, np.int64, np.int64, f32))
     by_item = np.argsort(item, kind="stable")
     item, op, i, j, own = item[by_item], op[by_item], i[by_item], j[by_item], own[by_item]
