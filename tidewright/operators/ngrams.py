@@ -18,11 +18,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import saved, ship
+from ..session import discard, saved, ship
 
 DISCOUNT = 0.75
 #: Words of texts that are dealt out together, and rows of a batch.
@@ -168,3 +170,287 @@ def spoken_grams(texts: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.concat(F.array(none, none), words_of(F.col(text_col)))
     cells = texts.select(F.explode(_triples(words)).alias("x")).select("x.*").where("c is not null")
     return cells.groupBy("a", "b", "c").agg(F.count("*").alias("n"))
+
+#: Words with a code of two bytes in the packed grams; 0 is any other word, sent by its hash.
+CODED = (1 << 16) - 1
+#: A word of which there is less than one among so many gets no code.
+RAREST = 1 << 20
+#: Distinct words of a block of which three codes fit into 63 bits.
+FITTING = 1 << 21
+#: Words of texts that are packed together, words in a bucket, buckets at most, words in a task, words from which buckets are cut by c.
+PACKED, BUCKET, MOST_BUCKETS, TASK, CUT = 1 << 22, 1 << 16, 1 << 12, 1 << 21, 1 << 29
+#: Bits of a word's hash.
+HASHED = 64
+#: What a bucket tells of the words before its own.
+BEFORE = ["_h", "_one", "_kinds", "_total"]
+
+
+def _hashes(words: list[bytes] | np.ndarray, key: int, bits: int) -> np.ndarray:
+    """Odd hashes of words under a key; 0 is no word."""
+    return (hash_array(np.array(words, object), hash_key=f"{key:016d}", categorize=False) >> np.uint64(64 - bits) | np.uint64(1)).view(np.int64)
+
+
+def _coded(column: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The distinct values of a column, the first of which is the empty word, and each row's code; null is the empty word."""
+    column = pa.concat_arrays([pa.array([b""], pa.large_binary()), column.cast(pa.large_binary()).fill_null(b"")]).dictionary_encode()
+    return column.dictionary.to_pylist(), column.indices.to_numpy()[1:].astype(np.int64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Distinct words and the codes of running texts, in blocks of PACKED words or one text; code 0 stands around each text."""
+    parts, words, size = [], [], 0
+    texts = (t for batch in batches for t in batch.column(0).cast(pa.large_binary()).to_pylist() if t)
+    for text in itertools.chain(texts, [None]):
+        if text is not None:
+            words += [b"", *text.split()]  # bytes are cut at 0x20 and 0x09 to 0x0D
+        if words and (text is None or len(words) >= GRAMS // 4):
+            parts.append(pa.array(words, pa.large_binary()))
+            size, words = size + len(words), []
+        if parts and (text is None or size >= PACKED):
+            yield _coded(pa.concat_arrays([*parts, pa.array([b""], pa.large_binary())]))
+            parts, size = [], 0
+
+
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, and the sums of values of each."""
+    if not len(key):
+        return (key, *values)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return (key[first], *(np.add.reduceat(v[order], first) for v in values))
+
+
+def _at(key: np.ndarray, asked: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The values of the asked keys among ordered ones, 0 where a key is missing."""
+    k = np.minimum(np.searchsorted(key, asked), max(len(key) - 1, 0))
+    return [np.where(key[k] == asked, v[k], 0) if len(key) else np.zeros(len(asked), np.int64) for v in values]
+
+
+def _packed(h: np.ndarray, codes: np.ndarray, top: np.ndarray, buckets: int, cuts: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, cut, grams) of a block of words with the hashes h: buckets by b, cuts by c; the grams of one b and of one a there stand together."""
+    h[0] = 0
+    bucket = (h >> 1) % buckets
+    order = np.argsort(bucket[1:], kind="stable") + 1  # the empty word stays 0
+    h, bucket = np.append(0, h[order]), np.append(-1, bucket[order])
+    back = np.empty(len(h), np.int64)
+    back[np.append(0, order)] = np.arange(len(h))
+    codes = back[codes]
+    rank = np.where(h == top[np.minimum(np.searchsorted(top, h), len(top) - 1)], np.searchsorted(top, h) + 1, 0).astype(np.uint16)
+    at = np.flatnonzero(codes)
+    m = len(h)
+    pair, last = codes[at] * m + codes[at - 1], codes[at + 1]
+    for cut in range(cuts):
+        of, c = (pair, last) if cuts == 1 else (pair[x := (h[last] >> 32) % cuts == cut], last[x])
+        if not len(of):
+            continue
+        if m <= FITTING:
+            gram = np.sort(of * m + c)
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            n = np.diff(np.append(first, len(gram)))
+            of, c = gram[first] // m, gram[first] % m
+        else:  # three codes are too long for one number
+            order = np.lexsort((c, of))
+            of, c, n = of[order], c[order], np.ones(len(c), np.int64)
+        g = np.flatnonzero(np.append(True, of[1:] != of[:-1]))  # each pair's first gram
+        b, a = of[g] // m, of[g] % m
+        p = np.flatnonzero(np.append(True, b[1:] != b[:-1]))  # each b's first pair
+        s = np.flatnonzero(np.append(True, (x := bucket[b[p]])[1:] != x[:-1]))  # each bucket's first b
+        more_g, more_p = np.append(g, len(c)), np.append(p, len(b))
+        for x, y in zip(s.tolist(), [*s[1:].tolist(), len(p)]):
+            px, py = more_p[x], more_p[y]
+            gx, gy = more_g[px], more_g[py]
+            ra, rc = rank[a[px:py]], rank[c[gx:gy]]
+            ta, tc = h[a[px:py][ra == 0]], h[c[gx:gy][rc == 0]]
+            sizes = np.array([y - x, py - px, gy - gx, len(ta), len(tc)], np.int64)
+            rows = (sizes, h[b[p[x:y]]], ta, tc, np.diff(more_p[x : y + 1]).astype(np.uint32), np.diff(more_g[px : py + 1]).astype(np.uint32), n[gx:gy].astype(np.uint32), ra, rc)
+            yield int(bucket[b[p[x]]]), cut, b"".join(v.tobytes() for v in rows)
+
+
+def _unpacked(grams: list[bytes], top: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The hashes of b, a and c and the count of each gram."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    full = np.append(0, top)
+    for data in grams:
+        b, p, g, ta, tc = np.frombuffer(data, np.int64, 5).tolist()
+        at, rows = 40, []
+        for kind, k in ((np.int64, b), (np.int64, ta), (np.int64, tc), (np.uint32, b), (np.uint32, p), (np.uint32, g), (np.uint16, p), (np.uint16, g)):
+            rows.append(np.frombuffer(data, kind, k, at))
+            at += k * kind().itemsize
+        hb, tail_a, tail_c, of_b, of_p, n, ra, rc = rows
+        a, c = full[ra], full[rc]
+        a[ra == 0], c[rc == 0] = tail_a, tail_c
+        for column, x in zip(out, (np.repeat(np.repeat(hb, of_b), of_p), np.repeat(a, of_p), c, n.astype(np.int64))):
+            column.append(x)
+    return tuple(np.concatenate(x) for x in out)
+
+
+class _Bucket:
+    """The grams asked for whose middle words lie in one bucket, and what its texts' grams give to them, cut by cut."""
+
+    def __init__(self, asked: pa.Table, key: int, bits: int):
+        self.asked, self.pairs = asked, []
+        self.b, self.a, self.c = ((h := _hashes(names, key, bits), np.where(codes > 0, h[codes], 0))[1] for names, codes in (_coded(asked[x].combine_chunks()) for x in ("b", "a", "c")))
+        self.n3, self.n2 = np.zeros((2, len(self.b)), np.int64)
+
+    def add(self, b: np.ndarray, a: np.ndarray, c: np.ndarray, n: np.ndarray) -> None:
+        (b, ub), (a, ua), (c, uc) = (pd.factorize(x) for x in (b, a, c))
+        p, up = pd.factorize(b * len(ua) + a)
+        gram, n = _summed(p * len(uc) + c, n)
+        p, c = gram // len(uc), gram % len(uc)
+        b, a = up[p] // len(ua), up[p] % len(ua)
+        ends = uc[c] == 0
+        k2, u2 = pd.factorize(b * len(uc) + c)
+        n2 = np.bincount(k2, n).astype(np.int64)
+        # The grams asked for, by the same numbers; -1 is unknown here.
+        qb, qa, qc = (pd.Index(u).get_indexer(x) for u, x in ((ub, self.b), (ua, self.a), (uc, self.c)))
+        seen = (qb >= 0) & (qc >= 0) & (self.c != 0)
+        q2 = pd.Index(u2).get_indexer(np.where(seen, qb * len(uc) + qc, -1))
+        self.n2 += np.where(q2 >= 0, n2[q2], 0)
+        qp = pd.Index(up).get_indexer(np.where((qb >= 0) & (qa >= 0) & (self.a != 0), qb * len(ua) + qa, -1))
+        self.n3 += _at(gram, np.where(seen & (qp >= 0), qp * len(uc) + qc, -1), n)[0]
+        open_n = np.where(ends, 0, n)
+        p, n, follow, kinds, low = _summed(p, n, open_n, (~ends).astype(np.int64), np.where(ends, 0, n2[k2]))
+        self.pairs.append((ub[up[p] // len(ua)], ua[up[p] % len(ua)], n, follow, kinds, low))
+
+    def done(self, discount: float) -> tuple[pa.Table, tuple[np.ndarray, ...]]:
+        """The asked rows with p3, p2 and w2 of each, null where the texts have none; and for each word before one of this
+        bucket the occurrences of the latter, the number of these, and how often they follow."""
+        b, a, n, follow, kinds, low = (np.concatenate(x) for x in zip(*self.pairs)) if self.pairs else [np.zeros(0, np.int64)] * 6
+        (b, ub), (a, ua) = pd.factorize(b), pd.factorize(a)
+        p, n, follow, kinds, low = _summed(b * max(len(ua), 1) + a, n, follow, kinds, low)
+        b, a = p // max(len(ua), 1), p % max(len(ua), 1)
+        one, total = (np.bincount(b, x, len(ub)).astype(np.int64) for x in (n, follow))
+        qb, qa = pd.Index(ub).get_indexer(self.b), pd.Index(ua).get_indexer(self.a)
+        of, left, low = _at(p, np.where((qb >= 0) & (qa >= 0) & (self.a != 0), qb * len(ua) + qa, -1), follow, kinds, low)
+        total = np.where(qb >= 0, total[qb], 0) if len(total) else np.zeros(len(qb), np.int64)
+        with np.errstate(all="ignore"):
+            p3, p2 = (self.n3 - discount) / of, (self.n2 - discount) / total
+            w2 = discount * left / of / (1 - (low - discount * left) / total)
+        asked = self.asked
+        for name, x, there in (("_p3", p3, self.n3 > 0), ("_p2", p2, self.n2 > 0), ("_w2", w2, of > 0)):
+            asked = asked.append_column(name, pa.array(x, pa.float64(), mask=~there))
+        before = ua[a] != 0
+        return asked, (ua[a][before], one[b][before], np.ones(before.sum(), np.int64), n[before])
+
+
+def scores_of_texts(grams: DataFrame, texts: DataFrame, weight: float = 1.0, penalty: float = 1.0, discount: float = DISCOUNT, text_col: str = "text", bits: int = HASHED) -> DataFrame:
+    """scored(grams, model(texts)) without the model's tables: of the texts' grams, only sums that grams ask for leave a task.
+
+    Words travel as hashes of 64 bits, and as two bytes if they are among the most frequent; should two words have one hash,
+    another key is taken.  Buckets of middle words are read in cuts by the word that follows, so that memory stays bounded."""
+    if not 0 < discount < 1:
+        raise ValueError("the discount lies between 0 and 1")
+    spark = grams.sparkSession
+    ship(spark)
+    grams = saved(grams, "grams")
+    names = grams.columns
+    for key in itertools.count():
+        words = _vocabulary(grams, texts.select(text_col), key, bits)
+        if not words.groupBy("h").count().where("count > 1").limit(1).count():
+            break
+        discard(words)
+    known = words.where("one > 0")
+    size = known.agg(F.coalesce(F.sum("one"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
+    # At most so many words, whatever the texts, can be more than the RAREST part of all.
+    top = known.where(F.col("one") > size.n // RAREST).orderBy(F.desc("one"), "h").limit(CODED).select("h").toArrow().column("h").to_numpy()
+    top = np.sort(top) if len(top) else np.full(1, -1)
+    buckets, cuts = min(MOST_BUCKETS, max(16, size.n // BUCKET)), 1 + size.n // CUT
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, codes in _blocks(batches):
+            rows = _packed(_hashes(block, key, bits), codes, top, buckets, cuts)
+            while some := list(itertools.islice(rows, 256)):
+                yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*some), (pa.int64(), pa.int64(), pa.binary()))], names=["_bucket", "_cut", "_grams"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, codes = _coded(batch.column("b"))
+            bucket = (_hashes(words, key, bits) >> 1) % buckets
+            yield batch.append_column("_bucket", pa.array(bucket[codes])).append_column("_cut", pa.array(np.full(len(codes), -1)))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, schema = [], pa.schema([])
+
+        def spent() -> Iterator[pa.RecordBatch]:
+            rows = _summed(*(np.concatenate(x) for x in zip(*sums))) if sums else [[]]
+            sums.clear()
+            if len(rows[0]):
+                yield from pa.table([*(pa.nulls(len(rows[0]), f.type) for f in schema), *map(pa.array, rows)], names=[*schema.names, *BEFORE]).to_batches(ROWS)
+
+        for _, parts in itertools.groupby(_runs(batches), lambda x: x[0]):
+            own = None
+            for cut, part in itertools.groupby(parts, lambda x: x[1]):
+                part = [x[2] for x in part]
+                if own is None:  # the grams asked for come first
+                    own = _Bucket(pa.Table.from_batches(part if cut < 0 else [part[0].slice(0, 0)]).select(names), key, bits)
+                if cut >= 0:
+                    own.add(*_unpacked([g for x in part for g in x.column("_grams").to_pylist()], top))
+            asked, before = own.done(discount)
+            schema = asked.schema
+            for x in BEFORE:
+                asked = asked.append_column(x, pa.nulls(len(asked), pa.int64()))
+            yield from asked.to_batches(ROWS)
+            sums.append(before)
+            if sum(len(x[0]) for x in sums) >= PACKED:
+                yield from spent()
+        yield from spent()
+
+    dealt = texts.select(text_col).mapInArrow(deal, "_bucket long, _cut long, _grams binary")
+    fields = lambda schema: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    asking = grams.mapInArrow(ask, f"{fields(grams.schema)}, _bucket long, _cut long")
+    both = asking.unionByName(dealt, allowMissingColumns=True).repartition(max(8, size.n // TASK), "_bucket").sortWithinPartitions("_bucket", "_cut")
+    found = saved(both.mapInArrow(gather, f"{fields(grams.schema)}, _p3 double, _p2 double, _w2 double, {', '.join(f'{x} long' for x in BEFORE)}"), "scores")
+    discard(grams)
+    sums = found.where("_h is not null").groupBy(F.col("_h").alias("h")).agg(*(F.sum(x).alias(x) for x in BEFORE[1:]))
+    left = discount * F.col("_kinds")
+    bow = left / F.col("_total") / (1 - (F.col("_one") - left) / F.lit(float(size.n)))
+    asked = words.where("asked").join(sums, "h", "left").select("w", F.when(F.col("one") > 0, (F.col("one") - discount) / float(size.n or 1)).alias("_p1"), bow.alias("_w1"))
+    rows = found.where("_h is null")
+    none = F.lit(None).cast("double")
+    # Only grams whose last two words were never seen ask for those of single words.
+    seen = rows.where("_p2 is not null").select(*names, "_p3", "_p2", "_w2", none.alias("_p1"), none.alias("_w1"))
+    rest = rows.where("_p2 is null").join(asked.select(F.col("w").alias("c"), "_p1"), "c", "left").join(asked.select(F.col("w").alias("b"), "_w1"), "b", "left").select(*seen.columns)
+    unseen = F.lit(discount * size.kinds / size.n if size.n else None).cast("double")
+    log, zero = (lambda c: F.log(F.col(c))), F.lit(0.0)
+    logp = F.coalesce(log("_p3"), F.coalesce(log("_w2"), zero) + F.coalesce(log("_p2"), F.coalesce(log("_w1"), zero) + F.coalesce(log("_p1"), F.log(unseen))))
+    used = F.when(F.col("_p3").isNotNull(), 3).when(F.col("_p2").isNotNull(), 2).when(F.col("_p1").isNotNull(), 1).otherwise(0)
+    return seen.unionByName(rest).select(*names, logp.alias("logp"), (logp * weight + F.log(F.lit(float(penalty)))).alias("score"), used.alias("used"))
+
+
+def _vocabulary(grams: DataFrame, texts: DataFrame, key: int, bits: int) -> DataFrame:
+    """(h, w, one, asked): the words of texts and of grams with their hashes, how often each occurs in the texts, and
+    whether a gram has it."""
+
+    def table(words: list[bytes], n: np.ndarray, asked: bool) -> Iterator[pa.RecordBatch]:
+        h = _hashes(words, key, bits)
+        w = pa.array(words, pa.binary()).view(pa.string())
+        rows = pa.table([pa.array(h), w, pa.array(n), pa.array(np.full(len(h), asked))], names=["h", "w", "one", "asked"])
+        yield from rows.slice(1).to_batches(ROWS)
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, codes in _blocks(batches):
+            yield from table(words, np.bincount(codes, minlength=len(words)), False)
+
+    def of_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = {b""}
+        for batch in batches:
+            for column in batch.columns:
+                words.update(_coded(column)[0])
+            if len(words) >= GRAMS:
+                yield from table([b"", *(words - {b""})], np.zeros(len(words), np.int64), True)
+                words = {b""}
+        yield from table([b"", *(words - {b""})], np.zeros(len(words), np.int64), True)
+
+    kinds = "h long, w string, one long, asked boolean"
+    both = texts.mapInArrow(of_texts, kinds).unionByName(grams.select("a", "b", "c").mapInArrow(of_grams, kinds))
+    return saved(both.groupBy("h", "w").agg(F.sum("one").alias("one"), F.max("asked").alias("asked")), "words")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(bucket, cut, rows) for the runs of rows of one cut."""
+    for batch in batches:
+        bucket, cut = (batch.column(x).to_numpy() for x in ("_bucket", "_cut"))
+        new = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (cut[1:] != cut[:-1]))).tolist() if len(bucket) else []
+        for x, y in zip(new, [*new[1:], len(bucket)]):
+            yield int(bucket[x]), int(cut[x]), batch.slice(x, y - x)

@@ -36,5 +36,5 @@ SELECT a, b, c, n, round(logp, 6) AS logp, round(9.5 * logp + ln(0.7::DOUBLE), 5
 FROM (SELECT *, CASE WHEN p3 IS NOT NULL THEN ln(p3) ELSE coalesce(ln(w2), 0) + CASE WHEN p2 IS NOT NULL THEN ln(p2) ELSE coalesce(ln(w1), 0) + ln(coalesce(p1, unseen)) END END AS logp FROM found)""")
 def trigram_scores(s, d):
     """The words of conversations after the two before them, by the model of documents."""
-    found = ngrams.scored(ngrams.spoken_grams(A.table(s, d, "conversations")), ngrams.model(A.table(s, d, "documents")), 9.5, 0.7)
+    found = ngrams.scores_of_texts(ngrams.spoken_grams(A.table(s, d, "conversations")), A.table(s, d, "documents"), 9.5, 0.7)
     return found.select("a", "b", "c", "n", F.round("logp", 6).alias("logp"), F.round("score", 5).alias("score"), "used")
