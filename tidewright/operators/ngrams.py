@@ -178,7 +178,7 @@ RAREST = 1 << 20
 #: Distinct words of a block of which three codes fit into 63 bits.
 FITTING = 1 << 21
 #: Words of texts that are packed together, words in a bucket, buckets at most, words in a task, words from which buckets are cut by c.
-PACKED, BUCKET, MOST_BUCKETS, TASK, CUT = 1 << 22, 1 << 16, 1 << 12, 1 << 21, 1 << 29
+PACKED, BUCKET, MOST_BUCKETS, TASK, CUT = 3 << 20, 1 << 16, 1 << 12, 1 << 21, 1 << 29
 #: Bits of a word's hash.
 HASHED = 64
 #: What a bucket tells of the words before its own.
@@ -193,7 +193,7 @@ def _hashes(words: list[bytes] | np.ndarray, key: int, bits: int) -> np.ndarray:
 def _coded(column: pa.Array) -> tuple[list[bytes], np.ndarray]:
     """The distinct values of a column, the first of which is the empty word, and each row's code; null is the empty word."""
     column = pa.concat_arrays([pa.array([b""], pa.large_binary()), column.cast(pa.large_binary()).fill_null(b"")]).dictionary_encode()
-    return column.dictionary.to_pylist(), column.indices.to_numpy()[1:].astype(np.int64)
+    return column.dictionary.to_pylist(), column.indices.to_numpy()[1:]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
@@ -233,22 +233,25 @@ def _packed(h: np.ndarray, codes: np.ndarray, top: np.ndarray, buckets: int, cut
     bucket = (h >> 1) % buckets
     order = np.argsort(bucket[1:], kind="stable") + 1  # the empty word stays 0
     h, bucket = np.append(0, h[order]), np.append(-1, bucket[order])
-    back = np.empty(len(h), np.int64)
+    back = np.empty(len(h), np.int32)
     back[np.append(0, order)] = np.arange(len(h))
     codes = back[codes]
     rank = np.where(h == top[np.minimum(np.searchsorted(top, h), len(top) - 1)], np.searchsorted(top, h) + 1, 0).astype(np.uint16)
-    at = np.flatnonzero(codes)
-    m = len(h)
-    pair, last = codes[at] * m + codes[at - 1], codes[at + 1]
+    at, m = np.flatnonzero(codes), len(h)
     for cut in range(cuts):
-        of, c = (pair, last) if cuts == 1 else (pair[x := (h[last] >> 32) % cuts == cut], last[x])
-        if not len(of):
+        x = at if cuts == 1 else at[(h[codes[at + 1]] >> 32) % cuts == cut]
+        if not len(x):
             continue
+        of, c = codes[x] * np.int64(m) + codes[x - 1], codes[x + 1]
         if m <= FITTING:
-            gram = np.sort(of * m + c)
-            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-            n = np.diff(np.append(first, len(gram)))
-            of, c = gram[first] // m, gram[first] % m
+            of *= m  # in place, as blocks are what takes a task's memory
+            of += c
+            of.sort()
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            n = np.diff(np.append(first, len(of)))
+            of = of[first]
+            c = (of % m).astype(np.int32)
+            of //= m
         else:  # three codes are too long for one number
             order = np.lexsort((c, of))
             of, c, n = of[order], c[order], np.ones(len(c), np.int64)
@@ -392,8 +395,10 @@ def scores_of_texts(grams: DataFrame, texts: DataFrame, weight: float = 1.0, pen
                 asked = asked.append_column(x, pa.nulls(len(asked), pa.int64()))
             yield from asked.to_batches(ROWS)
             sums.append(before)
-            if sum(len(x[0]) for x in sums) >= PACKED:
-                yield from spent()
+            if sum(len(x[0]) for x in sums) >= GRAMS:
+                sums[:] = [_summed(*(np.concatenate(x) for x in zip(*sums)))]
+                if len(sums[0][0]) >= GRAMS // 2:
+                    yield from spent()
         yield from spent()
 
     dealt = texts.select(text_col).mapInArrow(deal, "_bucket long, _cut long, _grams binary")
