@@ -8,6 +8,7 @@ Histories that were never seen have the weight 0.  Logarithms are natural.
 Texts are cut at white space (0x20, 0x09 to 0x0D); null and empty texts have no words.  A text's grams are dealt out once,
 by their middle word, and a model's tables are plans over that one shuffle: the grams of a word lie in one task, so the
 most frequent word's share of all words is the largest task's.  Scores read only those rows of a model that are asked for.
+Scores of many grams by large texts need no model: ``scores_of_texts`` sums what the grams ask for out of packed grams.
 """
 
 from __future__ import annotations
